@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import splitting
+from corvine.llm import functions_docs, splitting
 from corvine.sources.tables import latest_rows, table
 
 
@@ -30,7 +30,24 @@ def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.split_items(current_content(spark, base), "id", "content", limit, overlap)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces)}
+def _pairs(spark: SparkSession, base: str) -> DataFrame:
+    kind = F.lower("content_type")
+    # versions of other types take part in choosing the current one, but not with their text
+    text = F.when(kind.isin("c_source", "c_header", "source_file"), F.col("content"))
+    rows = table(spark, base, "indexed_content").select("id", "content_type", "source_path", text.alias("content"), "updated_at", "content_hash")
+    current = latest_rows(rows, "id", [F.col("updated_at").desc_nulls_last(), F.col("content_hash").desc_nulls_last()])
+    return functions_docs.pairs(current.filter(F.col("content").isNotNull()), "id", "source_path", "content_type", "content")
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return _pairs(spark, base).select("content_id", "func_name")
+
+
+def p3_pairs(spark: SparkSession, base: str) -> DataFrame:
+    return _pairs(spark, base)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs)}
 
 SQL = {
     "p2_found": """
