@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import functions_docs, splitting
+from corvine.llm import functions_docs, splitting, vectors
 from corvine.sources.tables import latest_rows, table
 
 
@@ -47,7 +47,32 @@ def p3_pairs(spark: SparkSession, base: str) -> DataFrame:
     return _pairs(spark, base)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs)}
+WIDTH = 64
+LEAST_COSINE = 0.95
+
+
+def _usable(spark: SparkSession, base: str) -> DataFrame:
+    return vectors.usable(table(spark, base, "vector_embedding"), "id", "content_id", "embedding", WIDTH)
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    pairs = vectors.similar_pairs(_usable(spark, base), WIDTH, LEAST_COSINE)
+    return pairs.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+
+
+def p6_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    """The ten most similar of every vector whose id is divisible by 100, among all."""
+    base_vectors = _usable(spark, base)
+    found = vectors.neighbours(base_vectors.filter(F.col("key") % 100 == 0), base_vectors, WIDTH)
+    return found.select(F.col("key").alias("vec_id"), "rank", F.col("neighbour").alias("neighbour_id"), F.round("cosine", 5).alias("cosine"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p6_found, p6_neighbours)}
+
+_USABLE = f"""
+WITH v AS (SELECT DISTINCT id, content_id, embedding::DOUBLE[] AS e FROM vector_embedding
+           WHERE len(embedding) = {WIDTH} AND list_max(list_transform(embedding, lambda x: abs(x))) > 0)
+"""
 
 SQL = {
     "p2_found": """
@@ -61,4 +86,13 @@ seen AS (
     list_max(list_transform(regexp_split_to_array(content, '[ \\t\\r\\n]+'), lambda w: length(w))) AS word
   FROM big)
 SELECT id AS content_id, CASE WHEN line <= 2000 THEN 'line' WHEN word <= 2000 THEN 'word' ELSE 'none' END AS cut_kind FROM seen""",
+    "p6_found": _USABLE + f"""
+SELECT DISTINCT least(a.id, b.id) AS vec_id_a, greatest(a.id, b.id) AS vec_id_b
+FROM v a JOIN v b ON a.id < b.id AND a.content_id <> b.content_id
+WHERE list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE}""",
+    "p6_neighbours": _USABLE + """,
+s AS (SELECT a.id AS vec_id, b.id AS neighbour_id, max(list_cosine_similarity(a.e, b.e)) AS c
+      FROM v a JOIN v b ON a.content_id <> b.content_id WHERE a.id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbour_id) AS rank FROM s)
+SELECT vec_id, rank, neighbour_id, round(c, 5) AS cosine FROM r WHERE rank <= 10""",
 }
