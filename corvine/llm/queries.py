@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import functions_docs, splitting, vectors
+from corvine.llm import functions_docs, mixing, packing, splitting, tokens, vectors
 from corvine.sources.tables import latest_rows, table
 
 
@@ -67,7 +67,42 @@ def p6_neighbours(spark: SparkSession, base: str) -> DataFrame:
     return found.select(F.col("key").alias("vec_id"), "rank", F.col("neighbour").alias("neighbour_id"), F.round("cosine", 5).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p6_found, p6_neighbours)}
+def _sizes(spark: SparkSession, base: str, *keep: str) -> DataFrame:
+    return tokens.sizes(table(spark, base, "documents"), "doc_id", "text", *keep)
+
+
+def p7_packed(spark: SparkSession, base: str) -> DataFrame:
+    limits = {r.limit_name: r.max_size for r in table(spark, base, "size_limit").filter("unit = 'token'").limit(100).collect()}
+    return packing.pack(_sizes(spark, base), "doc_id", "n_tokens", limits)
+
+
+def p7_summary(spark: SparkSession, base: str) -> DataFrame:
+    return packing.summary(p7_packed(spark, base))
+
+
+# Domains of the sources; languages of the documents.
+DOMAINS = {
+    "kernel_docs": "reference", "man_pages": "reference", "release_notes": "reference", "kconfig_help": "reference", "wiki": "reference",
+    "commit_log": "development", "bug_tracker": "development", "code_review": "development",
+    "mailing_list": "discussion", "forum": "discussion",
+}
+LANGUAGES = ["en", "de", "fr", "es", "pt", "pl", "cs", "ru", "zh", "ja"]
+
+
+def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    targets = {r.source: (r.target_share, r.max_repeats) for r in table(spark, base, "mix_target").limit(1000).collect()}
+    return mixing.mix(_sizes(spark, base, "source", "lang"), "doc_id", "source", "lang", "n_tokens", targets, DOMAINS, LANGUAGES)
+
+
+def p8_mix(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base)[0]
+
+
+def p8_shares(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base)[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p6_found, p6_neighbours, p7_packed, p7_summary, p8_mix, p8_shares)}
 
 _USABLE = f"""
 WITH v AS (SELECT DISTINCT id, content_id, embedding::DOUBLE[] AS e FROM vector_embedding
