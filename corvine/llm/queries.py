@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import functions_docs, mixing, packing, splitting, tokens, vectors
+from corvine.llm import functions_docs, mixing, mojibake, packing, splitting, tokens, vectors
 from corvine.sources.tables import latest_rows, table
 
 
@@ -102,7 +102,15 @@ def p8_shares(spark: SparkSession, base: str) -> DataFrame:
     return _mix(spark, base)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p6_found, p6_neighbours, p7_packed, p7_summary, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return mojibake.garbled(table(spark, base, "documents"), "doc_id", "text")[0]
+
+
+def p9_restored(spark: SparkSession, base: str) -> DataFrame:
+    return mojibake.restore(table(spark, base, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p6_found, p6_neighbours, p7_packed, p7_summary, p8_mix, p8_shares, p9_found, p9_restored)}
 
 _USABLE = f"""
 WITH v AS (SELECT DISTINCT id, content_id, embedding::DOUBLE[] AS e FROM vector_embedding
