@@ -102,8 +102,8 @@ class IncrementalJob:
     def _read(self, part: str) -> DataFrame | None:
         path = f"{self.state}/{part}"
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        where = hadoop.Path(f"{path}/_SUCCESS")
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        buckets = hadoop.Path(f"{path}/bucket=*")
+        if not list(buckets.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(buckets) or []):
             return None
         return self.spark.read.parquet(path)
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.plans import preparation
+from corvine.plans import graph_queries, preparation
 
-MODULES = (preparation,)
+MODULES = (preparation, graph_queries)
 
-FLAGSHIP = "p1_callee_summary"
+FLAGSHIP = "g_khop_down"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
