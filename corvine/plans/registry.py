@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.plans import graph_queries, preparation
+from corvine.plans import graph_queries, preparation, relational_queries
 
-MODULES = (preparation, graph_queries)
+MODULES = (preparation, graph_queries, relational_queries)
 
 FLAGSHIP = "g_khop_down"
 
