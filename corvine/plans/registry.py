@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.plans import graph_queries, preparation, relational_queries, search_queries
+from corvine.plans import data_queries, graph_queries, preparation, relational_queries, search_queries
 
-MODULES = (preparation, graph_queries, relational_queries, search_queries)
+MODULES = (preparation, graph_queries, relational_queries, search_queries, data_queries)
 
 FLAGSHIP = "g_khop_down"
 
