@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.session import checkpoint_dir
+
 LOST = "�"
 
 # Pairs (read as, written in) that occur in practice.
@@ -294,8 +296,10 @@ def garbled(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     Null and empty texts, ASCII texts and samples in backquotes are never
     garbled. Keys may repeat; a key is reported once. Texts are read whole.
     """
+    checkpoint_dir(df.sparkSession)
     tokens = document_tokens(df, key, text)
-    bad = garbled_tokens(token_counts(tokens))
+    # the counts are used by every test; written once, the texts are read twice in all
+    bad = garbled_tokens(token_counts(tokens).checkpoint())
     pairs = tokens.join(bad, "token").select(F.col("key").alias(key), "token", "reading")
     return pairs.select(key).distinct(), pairs
 
