@@ -62,17 +62,19 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2
     """
     asked = docs.sparkSession.createDataFrame([(t, terms.count(t)) for t in dict.fromkeys(terms)], "term string, times int")
     words = docs.select(key, F.coalesce(tx.tokens(text), F.array().cast("array<string>")).alias("words"))
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words").cast("double")).alias("mean_length"))
-    # only the few terms asked for are exploded
-    hits = words.select(key, F.size("words").alias("length"), F.explode(F.filter("words", lambda w: w.isin(terms))).alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # the texts are read once; what stays of a document is its length and the words asked for
+    checkpoint_dir(docs.sparkSession)
+    short = words.select(key, F.size("words").alias("length"), F.filter("words", lambda w: w.isin(terms)).alias("hits")).checkpoint()
+    size = short.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("length").cast("double")).alias("mean_length"))
+    hits = short.select(key, "length", F.explode("hits").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, mean = size.select("n").scalar(), size.select("mean_length").scalar()
     scored = hits.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").withColumn("n", n).withColumn("mean_length", mean)
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     total = scored.groupBy(key).agg(F.sum(part).alias("score"))
-    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.tanh(F.col("score") / 10)))
-    return docs.select(key).join(total, key, "left").select(key, F.coalesce(bounded, F.lit(0.0)).alias("bm25"))
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.tanh(F.coalesce("score", F.lit(0.0)) / 10)))
+    return short.select(key).join(total, key, "left").select(key, bounded.alias("bm25"))
 
 
 def hybrid(candidates: DataFrame, key: str, text: str, query: str, k: int, similarity: str = "score") -> DataFrame:
@@ -196,6 +198,7 @@ def embed(docs: DataFrame, key: str, text: str, model=None, width: int = 64) ->
 
     @F.pandas_udf("array<double>")
     def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, v)) for v in model(texts.fillna("").tolist())])
+        made = [list(map(float, v)) for v in model(texts.fillna("").tolist())]
+        return pd.Series([[x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for v in made])
 
-    return docs.select(key, vec.normalised(encode(text)).alias("embedding"))
+    return docs.select(key, encode(text).alias("embedding"))

@@ -133,7 +133,7 @@ t AS (SELECT doc_id, len(words) AS length, term, count(*) AS tf FROM (SELECT doc
 d AS (SELECT term, count(*) AS df FROM t GROUP BY term),
 z AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM w),
 k AS (SELECT t.doc_id, sum(ln((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM t JOIN d USING (term), z GROUP BY t.doc_id),
-b AS (SELECT w.doc_id, coalesce(greatest(0, least(1, tanh(score / 10))), 0) AS bm25 FROM w LEFT JOIN k USING (doc_id))
+b AS (SELECT w.doc_id, greatest(0, least(1, tanh(coalesce(score, 0) / 10))) AS bm25 FROM w LEFT JOIN k USING (doc_id))
 """.replace("{terms}", ", ".join(f"'{t}'" for t in _TERMS))
 
 SQL = {

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _stripped(c: str):
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """``file, n, line``: the lines of each text from 1, without line ends; null texts have none."""
     return df.select(F.col(key).alias("file"), F.posexplode(F.split(text, r"\r?\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
@@ -63,13 +67,13 @@ def kconfig_options(lines: DataFrame) -> DataFrame:
     help_at = F.when(word.isin("help"), indent)
     marked = marked.withColumn("help_indent", F.last(help_at, ignorenulls=True).over(ours.rowsBetween(Window.unboundedPreceding, -1)))
     # help ends for good at the first line that isn't deeper
-    marked = marked.withColumn("left", F.max(F.when(F.col("help_indent").isNotNull() & (F.trim("line") != "") & (indent <= F.col("help_indent")), 1)).over(ours))
+    marked = marked.withColumn("left", F.max(F.when(F.col("help_indent").isNotNull() & (_stripped("line") != "") & (indent <= F.col("help_indent")), 1)).over(ours))
     marked = marked.withColumn("in_help", F.col("help_indent").isNotNull() & F.col("left").isNull())
     code = ~F.col("in_help")
     kind = F.when(code & word.isin("bool", "tristate", "string", "int", "hex", "def_bool", "def_tristate"), F.regexp_replace(word, "^def_", ""))
     default = F.when(code, F.nullif(F.regexp_extract("line", r"^\s+(?:default|def_bool|def_tristate)\s+(\S+)", 1), F.lit("")))
     depends = F.when(code, F.nullif(F.regexp_extract("line", r"^\s+depends on\s+(.+)$", 1), F.lit("")))
-    text = F.when(F.col("in_help") & (F.trim("line") != ""), F.struct("n", F.trim("line").alias("t")))
+    text = F.when(F.col("in_help") & (_stripped("line") != ""), F.struct("n", _stripped("line").alias("t")))
     out = marked.groupBy("file", "name").agg(F.min_by(kind, F.when(kind.isNotNull(), F.col("n"))).alias("type"), F.min_by(default, F.when(default.isNotNull(), F.col("n"))).alias("default"), F.array_sort(F.collect_list(F.when(depends.isNotNull(), F.struct("n", depends.alias("d"))))).alias("d"), F.array_sort(F.collect_list(text)).alias("h"))
     parts = F.flatten(F.transform("d", lambda x: F.split(F.trim(x["d"]), r"\s*&&\s*")))
     return out.select("file", "name", "type", "default", parts.alias("depends"), F.array_join(F.transform("h", lambda x: x["t"]), "\n").alias("help"))

@@ -103,9 +103,11 @@ def verify(declared: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good records and broken ones (``_corrupt``) of JSON chunk files."""
-    rows = spark.read.option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", True).schema(f"{schema}, _corrupt string").json(path)
-    return rows.filter("_corrupt IS NULL").drop("_corrupt"), rows.filter("_corrupt IS NOT NULL").select("_corrupt")
+    """Good records, and ``path, text`` of broken ones, of JSON chunk files with one object each."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    parsed = files.withColumn("r", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    good = parsed.filter("r IS NOT NULL AND r._corrupt IS NULL").select("r.*").drop("_corrupt")
+    return good, parsed.filter("r IS NULL OR r._corrupt IS NOT NULL").select("path", F.col("value").alias("text"))
 
 
 def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
