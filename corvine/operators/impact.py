@@ -74,3 +74,28 @@ def by_option(edges: DataFrame, guard: str = "config_guard") -> DataFrame:
     """``option, n_edges, n_callers``: what hangs on each configuration option."""
     rows = edges.filter(F.col(guard).isNotNull()).withColumn("option", F.regexp_replace(guard, "^!", ""))
     return rows.groupBy("option").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("caller_id").alias("n_callers"))
+
+
+def patch_impact(changes: DataFrame, symbols: DataFrame, edges: DataFrame, max_distance: int = 5) -> DataFrame:
+    """``name, node, distance``: what the changed symbols of a patch (``symbol``) reach, nearest change only.
+
+    Names that no symbol has are dropped; a name with several ids stands for all of them.
+    """
+    named = symbols.select(F.col("id").alias("node"), "name")
+    start = changes.select(F.col("symbol").alias("name")).distinct().join(named, "name")
+    return affected(edges, start, max_distance).join(named, "node", "left").select("name", "node", "distance")
+
+
+def unmet_options(required: DataFrame, options: DataFrame) -> DataFrame:
+    """``name, option``: requirements whose option isn't on (``name, option`` against ``name, value``)."""
+    on = options.filter(F.col("value").isin("y", "m")).select(F.col("name").alias("option")).distinct()
+    return required.filter("option IS NOT NULL").join(on, "option", "left_anti").select("name", "option")
+
+
+def interface_breaks(expected: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``name, problem``: interfaces that are ``missing`` or whose ``returns`` or ``parameters`` changed."""
+    want = expected.filter("signature IS NOT NULL").select("name", signature_parts("signature").alias("want"))
+    have = symbols.groupBy("name").agg(F.max("signature").alias("s")).select("name", signature_parts("s").alias("have"), F.lit(True).alias("there"))
+    joined = want.join(have, "name", "left")
+    problem = F.when(F.col("there").isNull(), "missing").when(~F.col("want.returns").eqNullSafe(F.col("have.returns")), "returns").when(~F.col("want.parameters").eqNullSafe(F.col("have.parameters")), "parameters")
+    return joined.select("name", problem.alias("problem")).filter("problem IS NOT NULL").distinct()

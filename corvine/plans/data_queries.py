@@ -7,8 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.functions import columns as c
-from corvine.operators import extraction, impact, tables
+from corvine.operators import extraction, graph, impact, pointers, tables
 from corvine.plans import views as v
 from corvine.session import checkpoint_dir
 from corvine.sources import csource, graph_files
@@ -56,6 +55,20 @@ def x_operation_tables(spark: SparkSession, base: str) -> DataFrame:
     return found.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def x_pointers(spark: SparkSession, base: str) -> DataFrame:
+    return pointers.known_functions(pointers.assignments(_c_files(spark, base), "id", "content"), v.symbols(spark, base)).groupBy("how", "pointer").agg(F.count(F.lit(1)).alias("n"), F.count("function_id").alias("n_known"))
+
+
+def x_pointer_statistics(spark: SparkSession, base: str) -> DataFrame:
+    return pointers.pointer_statistics(pointers.known_functions(pointers.assignments(_c_files(spark, base), "id", "content"), v.symbols(spark, base)))
+
+
+def x_pointer_purpose(spark: SparkSession, base: str) -> DataFrame:
+    """Callers of callbacks by purpose, from the names of function and file."""
+    calls = v.edges(spark, base).filter("call_type = 'callback'")
+    return calls.select(pointers.purpose("function_context", "file_path").alias("purpose"), pointers.is_registration("function_context", "file_path").alias("registers")).groupBy("purpose", "registers").agg(F.count(F.lit(1)).alias("n"))
+
+
 def x_options(spark: SparkSession, base: str) -> DataFrame:
     names = table(spark, base, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"CONFIG_[A-Z0-9_]+"), F.lit(0)))).alias("option"))
     return names.groupBy("option").agg(F.count(F.lit(1)).alias("n_documents"))
@@ -175,6 +188,15 @@ def e_verify(spark: SparkSession, base: str) -> DataFrame:
     return graph_files.verify(doc.select("chunk_id", "size_bytes", F.col("content_hash").alias("checksum")), doc.select("chunk_id", "size_bytes", F.sha2("content", 256).alias("checksum")))
 
 
+def e_component_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Strongly connected components as chunks, and the number of edges that leave each."""
+    g = v.graph(spark, base)
+    comps = graph.components(g)
+    across = graph.boundary_edges(g, comps.withColumnRenamed("component", "part"))
+    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return sizes.join(across.groupBy(F.col("src_part").alias("component")).agg(F.count(F.lit(1)).alias("n_out")), "component", "left").select("component", "n_nodes", F.coalesce("n_out", F.lit(0)).alias("n_out"))
+
+
 def e_node_page(spark: SparkSession, base: str) -> DataFrame:
     """The second page of 50 nodes and the edges that touch it."""
     nodes = _nodes(spark, base).orderBy("id").offset(50).limit(50).select("id")
@@ -260,6 +282,11 @@ SELECT header, count(*) AS n, count(DISTINCT id) AS n_files FROM h GROUP BY 1"""
     "x_operation_tables": v.with_(v.DOC, _CFILE) + """
 , t AS (SELECT unnest(regexp_extract_all(content, 'struct\\s+\\w+(?:_operations|_ops)\\s+\\w+\\s*=\\s*\\{([^}]*)\\}', 1)) AS body FROM cf)
 SELECT unnest(regexp_extract_all(body, '\\.(\\w+)\\s*=\\s*&?\\w+', 1)) AS field, count(*) AS n FROM t GROUP BY 1""",
+    "x_pointer_purpose": v.with_(v.EDGE) + "SELECT CASE "
+    + " ".join(f"WHEN contains(lower(function_context), '{w}') OR coalesce(contains(lower(file_path), '{w}'), false) THEN '{n}'" for w, n in pointers.PURPOSE)
+    + " ELSE 'generic_callback' END AS purpose, "
+    + " OR ".join(f"contains(lower(function_context), '{w}') OR coalesce(contains(lower(file_path), '{w}'), false)" for w in pointers.REGISTRATION)
+    + " AS registers, count(*) AS n FROM edge WHERE call_type = 'callback' GROUP BY 1, 2",
     "x_options": "WITH o AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'CONFIG_[A-Z0-9_]+'))) AS option FROM documents) SELECT option, count(*) AS n_documents FROM o GROUP BY 1",
     "x_attributes": v.with_(v.SYM) + f"SELECT a AS attribute, count(*) AS n FROM sym JOIN (SELECT unnest({csource.ATTRIBUTES}) AS a) ON contains(signature, a) GROUP BY 1",
     "x_syscall_names": v.with_(v.SYM) + "SELECT id, regexp_extract(name, '^(?:__se_sys_|__do_sys_|ksys_|sys_)(\\w+)$', 1) AS syscall FROM sym WHERE regexp_matches(name, '^(?:__se_sys_|__do_sys_|ksys_|sys_)(\\w+)$')",

@@ -155,6 +155,31 @@ def test_impact(spark):
     assert {(r.src, r.dst, r.difference) for r in diff.collect()} == {(1, 5, "absent")}
 
 
+def test_patches_and_interfaces(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    symbols = spark.createDataFrame([(1, "a", "int a(void)"), (2, "b", "int b(int x)"), (3, "c", None)], "id long, name string, signature string")
+    changes = spark.createDataFrame([("c",), ("nobody",), ("c",)], "symbol string")
+    assert {(r.name, r.distance) for r in impact.patch_impact(changes, symbols, edges).collect()} == {("c", 0), ("b", 1), ("a", 2)}
+    want = spark.createDataFrame([("a", "void a(void)"), ("b", "int b(int x, int y)"), ("z", "int z()"), ("c", None)], "name string, signature string")
+    assert {(r.name, r.problem) for r in impact.interface_breaks(want, symbols).collect()} == {("a", "returns"), ("b", "parameters"), ("z", "missing")}
+    need = spark.createDataFrame([("r1", "CONFIG_A"), ("r2", "CONFIG_B"), ("r3", None)], "name string, option string")
+    have = spark.createDataFrame([("CONFIG_A", "y"), ("CONFIG_B", "n")], "name string, value string")
+    assert [r.name for r in impact.unmet_options(need, have).collect()] == ["r2"]
+
+
+def test_pointers(spark):
+    from corvine.operators import pointers
+
+    text = "static struct file_operations f = { .read = my_read, .write = &my_write };\ndev->open = do_open;\nregister_thing(dev, my_cb);"
+    df = spark.createDataFrame([(1, text), (2, None)], "id long, content string")
+    got = {(r.how, r.pointer, r.function) for r in pointers.assignments(df, "id", "content").collect()}
+    assert {("initialiser", "read", "my_read"), ("assignment", "open", "do_open"), ("registration", "register_thing", "my_cb")} <= got
+    sym = spark.createDataFrame([(7, "my_read", "function")], "id long, name string, kind string")
+    s = pointers.pointer_statistics(pointers.known_functions(pointers.assignments(df, "id", "content"), sym)).first()
+    assert s.n_known == 1 and s.n_registrations == 1
+    assert one(spark, pointers.purpose("p", "s"), p="x", s="timer_list") == "timer_handler" and one(spark, pointers.is_registration("p", "s"), p="my_ops", s="")
+
+
 def test_streams(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     schema = "path string, hash string, ts timestamp"
