@@ -273,12 +273,13 @@ def garbled_tokens(counts: DataFrame) -> DataFrame:
     score = F.struct(F.log(F.col("reading_n") + 1.0), F.col("gain"), F.col("reading"))
     by_reading = proven.filter(~F.col("reading").contains(LOST)).groupBy("token").agg(F.max_by("reading", score).alias("reading"))
 
-    # Lost characters: words of the corpus that fit the mask, the most frequent first.
+    # Lost characters: words of the corpus that fit the mask, if one is by far the most frequent.
     mask = lambda c: F.regexp_replace(c, r"[\x{80}-\x{10FFFF}]", LOST)
-    lost = counts.filter(F.col("token").contains(LOST)).withColumn("shape", mask("token"))
+    # Without a letter that was kept there is nothing to go by.
+    lost = counts.filter(F.col("token").contains(LOST) & F.col("token").rlike("[A-Za-z]") & ~F.col("token").contains("锟")).withColumn("shape", mask("token"))
     words = counts.filter(~F.col("token").contains(LOST)).select(mask("token").alias("masked"), F.struct("n", "token").alias("w"))
-    best = words.groupBy("masked").agg(F.max("w").alias("w"))
-    masked = lost.join(best, F.col("shape") == F.col("masked")).filter(F.col("w.n") >= 3).select(lost["token"], F.col("w.token").alias("reading"))
+    best = words.groupBy("masked").agg(F.max("w").alias("w"), F.sum("w.n").alias("all"))
+    masked = lost.join(best, F.col("shape") == F.col("masked")).filter((F.col("w.n") >= 3) & (F.col("w.n") >= 0.6 * F.col("all"))).select(lost["token"], F.col("w.token").alias("reading"))
 
     # What no encoding gives on purpose: replacement characters, controls, and their remains in GBK.
     sure = counts.filter(F.col("token").rlike(f"[{LOST}\\x{{80}}-\\x{{84}}\\x{{86}}-\\x{{9f}}]") | F.col("token").contains("锟")).select("token")
