@@ -7,6 +7,7 @@ the same scan, so a brace or a ``def`` inside them is never taken for code.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -132,6 +133,7 @@ def _c_name(signature: str) -> str | None:
     return max(found, key=lambda f: f[:2])[2] if found else None
 
 
+_BREAK = regex.compile("\n")
 _LINES = regex.compile(r"\r?\n|\r")
 _OPENING = regex.compile(r"[ \t]*(?:/\*+!?<?|\*+/|\*+(?!\w)|//+[!<]?)?")
 _CLOSING = regex.compile(r"\**/?[ \t]*$")
@@ -206,6 +208,7 @@ def extract(text: str, language: str) -> list[tuple[str, str, str, str, int]]:
     What follows a brace that is never closed isn't read.
     """
     found: dict[str, tuple[str, str, str, str, int]] = {}
+    breaks: list[int] | None = None
     for m, base in _matches(text, language):
         doc = m.group("doc")
         if doc is None or language != "python" and not m.group("code").endswith("}"):
@@ -217,7 +220,9 @@ def extract(text: str, language: str) -> list[tuple[str, str, str, str, int]]:
         if is_trivial(description):
             continue
         code = _python_body(text, m) if language == "python" else m.group("code")
-        found[name] = (name, " ".join(m.group("sig").split()), description, code, text.count("\n", 0, base + m.start("sig")) + 1)
+        if breaks is None:
+            breaks = [b.start() for b in _BREAK.finditer(text)]
+        found[name] = (name, " ".join(m.group("sig").split()), description, code, bisect.bisect_left(breaks, base + m.start("sig")) + 1)
     return list(found.values())
 
 

@@ -150,3 +150,24 @@ def test_broken_input_ends():
 def test_clean():
     assert fd.clean("/**\n * f() - Say it now, please, once.\n * @a: x\n *    more of a\n * Return: y\n */", "f") == "Say it now, please, once."
     assert fd.is_trivial("three words only") and not fd.is_trivial("now it is four")
+
+
+def test_frame(spark):
+    long = "/* Words that document it well here */\nint f%d(void) { return 0; }\n"
+    rows = [
+        (1, "a.c", "C_SOURCE", C, "clash"),
+        (2, None, "c_source", C, None),
+        (3, "b.txt", "C_SOURCE", C, None),
+        (4, "c.c", None, None, None),
+        (5, "d.c", None, "", None),
+        (None, "e.py", None, PYTHON, None),
+        (6, "f.c", "C_SOURCE", "".join(long % i for i in range(20_000)), None),
+        (7, "g.rs", "source_file", RUST, None),
+        (7, "g.rs", "source_file", RUST, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, source_path string, content_type string, content string, func_name string")
+    got = fd.pairs(df, "id", "source_path", "content_type", "content").groupBy("content_id").count().collect()
+    assert {r.content_id: r["count"] for r in got} == {1: 3, 2: 3, None: 3, 6: 20_000, 7: 4}
+    assert fd.pairs(df.limit(0), "id", "source_path", "content_type", "content").count() == 0
+    lines = fd.pairs(df.filter("id = 6"), "id", "source_path", "content_type", "content").agg({"line": "max"}).first()[0]
+    assert lines == 40_000
