@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvine.functions import text as tx
 from corvine.functions import vector as vec
@@ -30,15 +33,57 @@ def nearest(queries: DataFrame, corpus: DataFrame, item: str, vector: str, k: in
     """``query_id, rank, <item>, score``: exact search of a few query vectors (``query_id, q``) in the corpus.
 
     Cosine: highest first, at least ``least``; l2: the distance, lowest first, below
-    ``least``. Vectors that are null or of another width take no part. The scan
-    keeps k candidates per task before the shuffle.
+    ``least``. Vectors that are null, hold nulls or are of another width take no
+    part; a zero vector has the cosine 0. The queries travel with the tasks; each
+    batch of vectors is one matrix product that keeps k candidates a query, so
+    little is shuffled.
     """
-    rows = (corpus.filter(where) if where is not None else corpus).filter(F.col(vector).isNotNull()).select(item, vector)
-    pairs = rows.join(small_side(queries.select("query_id", "q")), F.size(vector) == F.size("q"))
-    score = vec.cosine(vector, "q") if metric == "cosine" else vec.distance(vector, "q")
-    scored = pairs.select("query_id", item, score.alias("score"))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least if metric == "cosine" else F.col("score") < least)
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).filter("q IS NOT NULL").limit(QUERIES_AT_ONCE + 1).collect()
+    if len(asked) > QUERIES_AT_ONCE:
+        raise ValueError(f"more than {QUERIES_AT_ONCE} queries at once")
+    by_width: dict[int, list] = {}
+    for r in asked:
+        by_width.setdefault(len(r.q), []).append(r)
+    rows = corpus.filter(where) if where is not None else corpus
+    kinds, query_kind = dict(rows.dtypes), dict(queries.dtypes)["query_id"]
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
+    schema = f"query_id {query_kind}, `{item}` {kinds[item]}, score double"
+    rows = rows.select(item, F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    # for cosine larger is better; for a distance its negative
+    sign = 1.0 if metric == "cosine" else -1.0
+
+    def part(width: int, mine: list) -> DataFrame:
+        ids, q = [r.query_id for r in mine], np.array([r.q for r in mine], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column(1).flatten().to_numpy().reshape(-1, width)
+                if not len(x):
+                    continue
+                if metric == "cosine":
+                    size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                    score = np.divide(q @ x.T, size, out=np.zeros(size.shape), where=size > 0)
+                else:
+                    score = np.sqrt(np.stack([((x - one) ** 2).sum(1) for one in q]))
+                good = sign * score
+                for i, name in enumerate(ids):
+                    if len(x) > k:  # everything as good as the k-th stays, so ties are settled by id later
+                        keep = np.flatnonzero(good[i] >= np.partition(good[i], -k)[-k] - 1e-12)
+                    else:
+                        keep = np.arange(len(x))
+                    if least is not None:
+                        keep = keep[score[i][keep] >= least] if metric == "cosine" else keep[score[i][keep] < least]
+                    if len(keep):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keep), id_type), b.column(0).take(pa.array(keep)), pa.array(score[i][keep])], names=["query_id", item, "score"])
+
+        return rows.filter(F.size("v") == width).mapInArrow(run, schema)
+
+    if not by_width:
+        return rows.select(F.lit(None).cast(query_kind).alias("query_id"), F.lit(0).alias("rank"), item, F.lit(0.0).alias("score")).limit(0)
+    found = [part(width, mine) for width, mine in by_width.items()]
+    scored = found[0]
+    for other in found[1:]:
+        scored = scored.unionByName(other)
     first = F.col("score").desc() if metric == "cosine" else F.col("score").asc()
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(first, item)))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", item, "score")
