@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvine.operators import extraction, graph, impact, pointers, tables
 from corvine.plans import views as v
 from corvine.session import checkpoint_dir
-from corvine.sources import csource, graph_files
+from corvine.sources import config_files, csource, graph_files
 from corvine.sources.tables import table
 from corvine.streaming import jobs
 
@@ -74,6 +74,23 @@ def x_options(spark: SparkSession, base: str) -> DataFrame:
     return names.groupBy("option").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def x_make_objects(spark: SparkSession, base: str) -> DataFrame:
+    """Objects that Makefiles build, per option."""
+    lines = config_files.lines_of(v.content(spark, base).filter("source_path LIKE '%.mk'"), "id", "content")
+    rule = r"^obj-\$\((CONFIG_\w+)\)\s*\+?=\s*(\w+)\.o"
+    rows = lines.filter(F.col("line").rlike(rule)).select("file", F.regexp_extract("line", rule, 1).alias("option"), F.regexp_extract("line", rule, 2).alias("object"))
+    return rows.groupBy("option").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("object").alias("n_objects"))
+
+
+def x_config_options(spark: SparkSession, base: str) -> DataFrame:
+    """A configuration written as text from the guards of the calls, and read again."""
+    names = table(spark, base, "call_edges").select(F.regexp_replace("config_guard", "^!", "").alias("o")).filter("o IS NOT NULL").distinct()
+    n = F.length("o") % 5
+    line = F.when(n == 0, F.concat("o", F.lit("=y"))).when(n == 1, F.concat("o", F.lit("=m"))).when(n == 2, F.concat(F.lit("# "), "o", F.lit(" is not set"))).when(n == 3, F.concat("o", F.lit('="text"'))).otherwise(F.concat("o", F.lit("=0x1f")))
+    text = names.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content")).select(F.lit(1).alias("id"), "content")  # one line per option
+    return config_files.config_options(config_files.lines_of(text, "id", "content")).select("name", "type", "value")
+
+
 def x_attributes(spark: SparkSession, base: str) -> DataFrame:
     marks = v.symbols(spark, base).select("id", F.explode(csource.attributes("signature")).alias("attribute"))
     return marks.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"))
@@ -288,6 +305,14 @@ SELECT unnest(regexp_extract_all(body, '\\.(\\w+)\\s*=\\s*&?\\w+', 1)) AS field,
     + " OR ".join(f"contains(lower(function_context), '{w}') OR coalesce(contains(lower(file_path), '{w}'), false)" for w in pointers.REGISTRATION)
     + " AS registers, count(*) AS n FROM edge WHERE call_type = 'callback' GROUP BY 1, 2",
     "x_options": "WITH o AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'CONFIG_[A-Z0-9_]+'))) AS option FROM documents) SELECT option, count(*) AS n_documents FROM o GROUP BY 1",
+    "x_make_objects": v.with_(v.DOC) + """
+, l AS (SELECT unnest(regexp_split_to_array(content, '\\r?\\n')) AS line FROM doc WHERE source_path LIKE '%.mk'),
+r AS (SELECT regexp_extract(line, '^obj-\\$\\((CONFIG_\\w+)\\)\\s*\\+?=\\s*(\\w+)\\.o', 1) AS option, regexp_extract(line, '^obj-\\$\\((CONFIG_\\w+)\\)\\s*\\+?=\\s*(\\w+)\\.o', 2) AS object FROM l)
+SELECT option, count(*) AS n, count(DISTINCT object) AS n_objects FROM r WHERE option <> '' GROUP BY 1""",
+    "x_config_options": """
+WITH o AS (SELECT DISTINCT regexp_replace(config_guard, '^!', '') AS name FROM call_edges WHERE config_guard IS NOT NULL)
+SELECT name, CASE length(name) % 5 WHEN 0 THEN 'tristate' WHEN 1 THEN 'module' WHEN 2 THEN 'not_set' WHEN 3 THEN 'string' ELSE 'hex' END AS type,
+  CASE length(name) % 5 WHEN 0 THEN 'y' WHEN 1 THEN 'm' WHEN 2 THEN NULL WHEN 3 THEN 'text' ELSE '0x1f' END AS value FROM o WHERE regexp_matches(name, '^CONFIG_\\w+$')""",
     "x_attributes": v.with_(v.SYM) + f"SELECT a AS attribute, count(*) AS n FROM sym JOIN (SELECT unnest({csource.ATTRIBUTES}) AS a) ON contains(signature, a) GROUP BY 1",
     "x_syscall_names": v.with_(v.SYM) + "SELECT id, regexp_extract(name, '^(?:__se_sys_|__do_sys_|ksys_|sys_)(\\w+)$', 1) AS syscall FROM sym WHERE regexp_matches(name, '^(?:__se_sys_|__do_sys_|ksys_|sys_)(\\w+)$')",
     "u_upsert": "SELECT source_path, epoch_us(max(updated_at)) AS updated_us FROM indexed_content GROUP BY 1",
