@@ -39,13 +39,14 @@ def _longs(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Fold:
-    """Folds sorted batches into states; keeps only the open key between batches."""
+    """Folds sorted batches into states, all groups of a batch at once; keeps only the open key between batches."""
 
     def __init__(self) -> None:
-        self.last: tuple | None = None  # (key, key_null, member, member_null, item, item_null) of the last row
-        self.open: list | None = None  # [key, n_items, n_members, first, last, ts]
+        self.last: tuple | None = None  # key, member and item of the last row, each with its null flag
+        self.open: dict[str, np.ndarray] | None = None
 
-    def add(self, batch: pa.RecordBatch) -> list[list]:
+    def add(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """The states that ended in the batch."""
         columns = [_longs(batch.column(i)) for i in range(4)]
         (key, key_null), (member, member_null), (item, item_null), (ts, ts_null) = columns
         n = len(key)
@@ -64,32 +65,38 @@ class _Fold:
         self.last = tuple(x[-1] for pair in columns[:3] for x in pair)
 
         starts = np.flatnonzero(new_key)
-        bounds = np.concatenate([[0], starts[starts > 0]]).astype(np.int64)
-        items = np.add.reduceat(new_item.astype(np.int64), bounds)
-        members = np.add.reduceat((new_member & ~member_null).astype(np.int64), bounds)
-        latest = np.maximum.reduceat(np.where(ts_null, _NONE, ts), bounds)
-        # nulls sort first, so a key's first known member follows its null ones
-        known = np.where(member_null, np.iinfo(np.int64).max, member)
-        first = np.minimum.reduceat(known, bounds)
-        any_known = np.maximum.reduceat((~member_null).astype(np.int8), bounds)
-        ends = np.concatenate([bounds[1:], [n]]) - 1
-        done: list[list] = []
-        for g, at in enumerate(bounds):
-            row = [
-                None if key_null[at] else int(key[at]),
-                int(items[g]),
-                int(members[g]),
-                int(first[g]) if any_known[g] else None,
-                int(member[ends[g]]) if any_known[g] else None,
-                int(latest[g]),
-            ]
-            if g == 0 and not new_key[0] and self.open is not None:
-                o = self.open
-                row = [o[0], o[1] + row[1], o[2] + row[2], o[3] if o[3] is not None else row[3], row[4] if row[4] is not None else o[4], max(o[5], row[5])]
-            elif self.open is not None:
-                done.append(self.open)
-            self.open = row
-        return done
+        at = np.concatenate([[0], starts[starts > 0]]).astype(np.int64)
+        known = np.maximum.reduceat((~member_null).astype(np.int8), at).astype(bool)
+        groups = {
+            "key": key[at],
+            "key_null": key_null[at],
+            "items": np.add.reduceat(new_item.astype(np.int64), at),
+            "members": np.add.reduceat((new_member & ~member_null).astype(np.int64), at),
+            # nulls sort first, so a key's last member is known if any is
+            "first": np.minimum.reduceat(np.where(member_null, np.iinfo(np.int64).max, member), at),
+            "last": member[np.concatenate([at[1:], [n]]) - 1],
+            "known": known,
+            "us": np.maximum.reduceat(np.where(ts_null, _NONE, ts), at),
+        }
+        if self.open is not None:
+            if new_key[0]:
+                groups = {c: np.concatenate([self.open[c], g]) for c, g in groups.items()}
+            else:
+                self._join(groups)
+        self.open = {c: g[-1:] for c, g in groups.items()}
+        return {c: g[:-1] for c, g in groups.items()}
+
+    def _join(self, groups: dict[str, np.ndarray]) -> None:
+        """Puts the open state before the first group, which has the same key."""
+        o = self.open
+        for c in ("items", "members"):
+            groups[c][0] += o[c][0]
+        groups["us"][0] = max(groups["us"][0], o["us"][0])
+        if o["known"][0]:
+            groups["first"][0] = o["first"][0]
+            if not groups["known"][0]:
+                groups["last"][0] = o["last"][0]
+            groups["known"][0] = True
 
 
 def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,25 +104,25 @@ def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     part = TaskContext.get().partitionId()
 
-    def out(rows: list[list]) -> pa.RecordBatch:
-        key, n_items, n_members, first, last, ts = zip(*rows)
+    def out(g: dict[str, np.ndarray]) -> pa.RecordBatch:
+        none = ~g["known"]
         arrays = [
-            pa.array([part] * len(rows), pa.int64()),
-            pa.array(key, pa.int64()),
-            pa.array(n_items, pa.int64()),
-            pa.array(n_members, pa.int64()),
-            pa.array(first, pa.int64()),
-            pa.array(last, pa.int64()),
-            pa.array([None if t == _NONE else t for t in ts], pa.int64()),
+            pa.array(np.full(len(none), part, np.int64)),
+            pa.array(g["key"], mask=g["key_null"]),
+            pa.array(g["items"]),
+            pa.array(g["members"]),
+            pa.array(g["first"], mask=none),
+            pa.array(g["last"], mask=none),
+            pa.array(g["us"], mask=g["us"] == _NONE),
         ]
         return pa.RecordBatch.from_arrays(arrays, names=_STATE.names)
 
     fold = _Fold()
     for batch in batches:
-        if batch.num_rows and (rows := fold.add(batch)):
-            yield out(rows)
+        if batch.num_rows and len((done := fold.add(batch))["key"]):
+            yield out(done)
     if fold.open is not None:
-        yield out([fold.open])
+        yield out(fold.open)
 
 
 def partial_states(df: DataFrame, key: str, member: str, item: str, ts: str, partitions: int | None = None) -> DataFrame:
