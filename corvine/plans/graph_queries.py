@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvine.operators import graph
 from corvine.plans import views as v
+from corvine.sources.tables import table
 
 # Numbers for the texts of ``confidence`` in the score of a path.
 PATH_WEIGHT = {"high": 0.9, "medium": 0.7, "low": 0.5}
@@ -30,6 +31,11 @@ def _typed(spark: SparkSession, base: str) -> DataFrame:
     return v.edges(spark, base).select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), "call_type", "confidence", "conditional", "config_guard", "line_number", "file_path", "id")
 
 
+def _calls(spark: SparkSession, base: str) -> DataFrame:
+    """Ends and type only; ``neighbourhood`` drops what is delivered again, so no other column is shuffled."""
+    return table(spark, base, "call_edges").select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), "call_type")
+
+
 def _names(spark: SparkSession, base: str) -> DataFrame:
     return v.symbols(spark, base).select(F.col("id").alias("node"), "name")
 
@@ -43,12 +49,12 @@ def _hop_rows(spark: SparkSession, base: str, edges: DataFrame, start: DataFrame
 
 
 def g_khop_down(spark: SparkSession, base: str) -> DataFrame:
-    edges = _typed(spark, base).select("src", "dst", "call_type")
+    edges = _calls(spark, base)
     return _hop_rows(spark, base, edges, _root(spark, base), 3).orderBy("depth", "symbol", "call_type")
 
 
 def g_khop_up(spark: SparkSession, base: str) -> DataFrame:
-    edges = graph.reverse(_typed(spark, base).select("src", "dst", "call_type"))
+    edges = graph.reverse(_calls(spark, base))
     return _hop_rows(spark, base, edges, _leaf(spark, base), 3).orderBy("depth", "symbol", "call_type")
 
 
