@@ -8,8 +8,10 @@ searched with Viterbi's algorithm under the character frequencies of the
 corpus, and the readings compete with the token itself under the corpus' word
 frequencies. Tokens that lose are garbled; records that hold one are found.
 
-All frequencies are counted over the whole corpus. The work per token is done
-once per distinct token, not once per record.
+All frequencies are counted over the whole corpus. Copies of one text count as
+one text, and tokens that are valid UTF-8 behind a reader don't count towards the
+frequencies of characters, so a garbled text doesn't hide itself by being
+frequent. The work per token is done once per distinct token, not once per record.
 """
 
 from __future__ import annotations
@@ -178,12 +180,14 @@ def _known_word(c: str) -> bool:
     return not ("\x80" <= c <= "\x9f")
 
 
-def candidates(token: str, chars: dict[str, float], floor: float, twice: bool = True) -> list[tuple[str, str, float]]:
+def candidates(token: str, plain: tuple[dict[str, float], float], every: tuple[dict[str, float], float], twice: bool = True) -> list[tuple[str, str, float]]:
     """(pair, reading, gain) for each pair of encodings that gives another reading.
 
     gain: how much more probable the reading's characters are than the token's.
+    ``plain`` and ``every`` hold log frequencies and the floor: UTF-8 is judged by
+    tokens that aren't valid UTF-8 themselves, other encodings by all.
     """
-    own = sum(chars.get(c, floor) for c in token if c > "\x7f")
+    own_by = {table: sum(logs.get(c, low) for c in token if c > "\x7f") for table, (logs, low) in (("plain", plain), ("every", every))}
     found: dict[str, tuple[str, float]] = {}
     for reader, writer in UTF8_PAIRS + BYTE_PAIRS:
         data = to_bytes(token, reader)
@@ -195,14 +199,15 @@ def candidates(token: str, chars: dict[str, float], floor: float, twice: bool =
             first = next(b for b in data if b is None or b >= 0x80)
             if first is not None and not 0xC2 <= first <= 0xF4:
                 continue
-        got = viterbi(data, writer, chars, floor)
+        own = own_by["plain" if writer == "utf_8" else "every"]
+        got = viterbi(data, writer, *(plain if writer == "utf_8" else every))
         if got is None or got[1] == token:
             continue
         p, reading = got
         if writer in _CYRILLIC and not any("\u0400" <= c <= "\u04ff" for c in reading):
             continue
         if writer == "utf_8" and twice and len(reading) < len(token) and any(c > "\x7f" for c in reading):
-            for pair, deeper, more in candidates(reading, chars, floor, False):
+            for pair, deeper, more in candidates(reading, plain, every, False):
                 if pair.endswith("utf_8") and more > 0 and deeper not in found:
                     found[deeper] = (f"{reader}>utf_8+{pair}", p + more - own)
         if reading not in found:
@@ -210,76 +215,117 @@ def candidates(token: str, chars: dict[str, float], floor: float, twice: bool =
     return [(pair, reading, gain) for reading, (pair, gain) in found.items()]
 
 
+def reads_as_utf8(token: str) -> bool:
+    """Whether some reader's bytes of the token are valid UTF-8 of several bytes, lost ones not counted."""
+    beyond = sum(c > "\x7f" for c in token)
+    for reader, _ in UTF8_PAIRS:
+        data = to_bytes(token, reader)
+        if not data or None in data:
+            continue
+        try:
+            reading = bytes(data).decode("utf_8")
+        except UnicodeDecodeError:
+            continue
+        left = sum(c > "\x7f" for c in reading)
+        # in multi-byte readers a short token is valid by chance
+        if 0 < left < beyond and (reader not in _MULTIBYTE or beyond >= 4 and left >= 2):
+            return True
+    return False
+
+
 def strip_quoted(text: Column | str) -> Column:
     """Samples in backquotes are quoted on purpose."""
     return F.regexp_replace(text, _QUOTED, " ")
 
 
+def _token_arrays(df: DataFrame, text: str, *keep: Column) -> DataFrame:
+    beyond = df.filter(F.col(text).rlike(r"[\x{80}-\x{10FFFF}]"))
+    return beyond.select(*keep, F.array_distinct(F.regexp_extract_all(strip_quoted(text), F.lit(_TOKEN), F.lit(0))).alias("tokens"))
+
+
 def document_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, token``: the distinct tokens beyond ASCII of each record."""
-    beyond = df.filter(F.col(text).rlike(r"[\x{80}-\x{10FFFF}]"))
-    return beyond.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(strip_quoted(text), F.lit(_TOKEN), F.lit(0)))).alias("token"))
+    return _token_arrays(df, text, F.col(key).alias("key")).select("key", F.explode("tokens").alias("token"))
 
 
-def token_counts(tokens: DataFrame) -> DataFrame:
-    """``token, n``: the number of records that hold it."""
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+def token_counts(df: DataFrame, text: str) -> DataFrame:
+    """``token, n, texts``: the number of records that hold it, and of different texts.
+
+    Copies are folded by two 64-bit hashes of the text before their tokens are counted.
+    """
+    hashes = F.xxhash64(F.lit("a"), text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b")
+    once = _token_arrays(df, text, *hashes).groupBy("a", "b").agg(F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    return once.select(F.explode("tokens").alias("token"), "copies").groupBy("token").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts"))
+
+
+def _char_logs(counts: DataFrame) -> tuple[tuple[dict[str, float], float], tuple[dict[str, float], float]]:
+    """Log frequencies of characters beyond ASCII by texts, and the floor; there are at most 1.1 million, whatever the corpus.
+
+    First over the tokens that aren't valid UTF-8 behind a reader, then over all.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(plain=[0 if reads_as_utf8(t) else n for t, n in zip(batch["token"], batch["texts"])])
+
+    marked = counts.select("token", "texts").mapInPandas(run, "token string, texts long, plain long")
+    chars = marked.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "plain", "texts").filter(F.col("c") > "\x7f")
+    rows = chars.groupBy("c").agg(F.sum("plain").alias("plain"), F.sum("texts").alias("texts")).collect()
 
+    def logs(column: str) -> tuple[dict[str, float], float]:
+        total = sum(r[column] for r in rows) or 1
+        # characters that only stand for bytes are no letters of any language
+        return {r.c: math.log(r[column] / total) for r in rows if r[column] and r.c != LOST and not "\x80" <= r.c <= "\x9f"}, math.log(0.1 / total)
 
-def _char_logs(counts: DataFrame) -> tuple[dict[str, float], float]:
-    """Log frequencies of characters beyond ASCII; there are at most 1.1 million, whatever the corpus."""
-    chars = counts.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "n").filter(F.col("c") > "\x7f")
-    rows = chars.groupBy("c").agg(F.sum("n").alias("n")).collect()
-    total = sum(r.n for r in rows) or 1
-    # characters that only stand for bytes are no letters of any language
-    logs = {r.c: math.log(r.n / total) for r in rows if r.c != LOST and not "\x80" <= r.c <= "\x9f"}
-    return logs, math.log(0.1 / total)
+    return logs("plain"), logs("texts")
 
 
 def garbled_tokens(counts: DataFrame) -> DataFrame:
     """``token, reading``: garbled tokens, the reading null where it can't be restored."""
-    logs, floor = _char_logs(counts)
     spark = counts.sparkSession
-    shared = spark.sparkContext.broadcast((logs, floor))
+    shared = spark.sparkContext.broadcast(_char_logs(counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chars, low = shared.value
+        plain, every = shared.value
         for batch in batches:
             rows = []
-            for token, n in zip(batch["token"], batch["n"]):
-                for pair, reading, gain in candidates(token, chars, low):
-                    rows.append((token, n, pair, reading, gain))
-            yield pd.DataFrame(rows, columns=["token", "n", "pair", "reading", "gain"])
+            for token, n, texts in zip(batch["token"], batch["n"], batch["texts"]):
+                for pair, reading, gain in candidates(token, plain, every):
+                    rows.append((token, n, texts, pair, reading, gain))
+            yield pd.DataFrame(rows, columns=["token", "n", "texts", "pair", "reading", "gain"])
 
-    proposed = counts.mapInPandas(run, "token string, n long, pair string, reading string, gain double")
-    word = counts.select(F.col("token").alias("reading"), F.col("n").alias("reading_n"))
-    judged = proposed.join(word, "reading", "left").withColumn("reading_n", F.coalesce("reading_n", F.lit(0)))
+    proposed = counts.mapInPandas(run, "token string, n long, texts long, pair string, reading string, gain double")
+    word = counts.select(F.col("token").alias("reading"), F.col("n").alias("reading_n"), F.col("texts").alias("reading_texts"))
+    judged = proposed.join(word, "reading", "left").fillna(0, ["reading_n", "reading_texts"])
 
     utf8 = F.col("pair").endswith("utf_8")
     wide = F.col("pair").rlike("^(cp932|gbk|big5|euc_jp)")
     beyond = F.length(F.regexp_replace("token", r"[\x{0}-\x{7f}]", ""))
     left = F.length(F.regexp_replace("reading", r"[\x{0}-\x{7f}]", ""))
-    ratio = (F.col("reading_n") + 0.0) / F.col("n")
     length = F.length("token")
     # How much more frequent the other reading must be: short tokens meet real words by chance.
     needed = F.when(length <= 2, 100.0).when(length == 3, 25.0).when((beyond >= 2) & (length >= 5), 2.5).otherwise(5.0)
-    known = (F.col("reading_n") >= 3) & (ratio >= needed)
+    # By texts or by records: copies of the garbled text don't count against the right word.
+    frequent = lambda right, wrong: (F.col(right) >= 3) & (F.col(right) >= needed * F.col(wrong))
+    known = frequent("reading_texts", "texts") | frequent("reading_n", "n")
     # Valid UTF-8 of several bytes doesn't come about by chance in single-byte text.
     valid = utf8 & ~wide & (left < beyond) & (F.col("gain") > 2.0)
     valid_wide = utf8 & wide & (F.col("gain") > 2.0) & (known | (beyond >= 4) & (left >= 2))
     foreign = (~utf8) & F.col("pair").rlike("(cp932|gbk|big5|euc_jp)$") & (beyond >= 4) & (F.col("gain") > 4.0 * beyond)
     foreign = foreign | (~utf8) & ~F.col("pair").rlike("(cp932|gbk|big5|euc_jp)$") & (beyond >= 6) & (F.col("gain") > 1.5 * beyond)
-    proven = judged.filter(known | valid | valid_wide | foreign)
-    score = F.struct(F.log(F.col("reading_n") + 1.0), F.col("gain"), F.col("reading"))
+    proven = judged.filter(known | valid | valid_wide | foreign).select("token", "reading", "reading_texts", "gain").checkpoint()
+    score = F.struct("reading_texts", "gain", "reading")
     by_reading = proven.filter(~F.col("reading").contains(LOST)).groupBy("token").agg(F.max_by("reading", score).alias("reading"))
 
     # Lost characters: words of the corpus that fit the mask, if one is by far the most frequent.
     mask = lambda c: F.regexp_replace(c, r"[\x{80}-\x{10FFFF}]", LOST)
     # Without a letter that was kept there is nothing to go by.
     lost = counts.filter(F.col("token").contains(LOST) & F.col("token").rlike("[A-Za-z]") & ~F.col("token").contains("锟")).withColumn("shape", mask("token"))
-    words = counts.filter(~F.col("token").contains(LOST)).select(mask("token").alias("masked"), F.struct("n", "token").alias("w"))
-    best = words.groupBy("masked").agg(F.max("w").alias("w"), F.sum("w.n").alias("all"))
-    masked = lost.join(best, F.col("shape") == F.col("masked")).filter((F.col("w.n") >= 3) & (F.col("w.n") >= 0.6 * F.col("all"))).select(lost["token"], F.col("w.token").alias("reading"))
+    # Garbled words are no readings, however often they are copied.
+    right = counts.filter(~F.col("token").contains(LOST)).join(proven.select("token"), "token", "left_anti")
+    words = right.select(mask("token").alias("masked"), F.struct("texts", "n", "token").alias("w"))
+    best = words.groupBy("masked").agg(F.max("w").alias("w"), F.sum("w.texts").alias("all"))
+    masked = lost.join(best, F.col("shape") == F.col("masked")).filter((F.col("w.n") >= 3) & (F.col("w.texts") >= 0.6 * F.col("all"))).select(lost["token"], F.col("w.token").alias("reading"))
 
     # What no encoding gives on purpose: replacement characters, controls, and their remains in GBK.
     sure = counts.filter(F.col("token").rlike(f"[{LOST}\\x{{80}}-\\x{{84}}\\x{{86}}-\\x{{9f}}]") | F.col("token").contains("锟")).select("token")
@@ -300,7 +346,7 @@ def garbled(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     checkpoint_dir(df.sparkSession)
     tokens = document_tokens(df, key, text)
     # the counts are used by every test; written once, the texts are read twice in all
-    bad = garbled_tokens(token_counts(tokens).checkpoint())
+    bad = garbled_tokens(token_counts(df, text).checkpoint())
     pairs = tokens.join(bad, "token").select(F.col("key").alias(key), "token", "reading")
     return pairs.select(key).distinct(), pairs
 

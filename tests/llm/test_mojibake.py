@@ -41,6 +41,19 @@ def test_found_and_restored(spark):
     assert m.garbled(df.limit(0), "doc_id", "text")[0].count() == 0
 
 
+def test_a_garbled_text_that_a_third_of_the_rows_repeat_is_found(spark):
+    texts = [f"{i} {CLEAN[i % 4]}" for i in range(400)]
+    copied = [garble(CLEAN[0], "utf_8", "cp1252"), garble(CLEAN[1], "koi8_r", "cp1251"), garble(CLEAN[0], "cp1252", "mac_roman")]
+    for bad in copied:
+        rows = list(enumerate(texts)) + [(1000 + i, bad) for i in range(200)] + [(2000 + i, t) for i, t in enumerate(DECOYS)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.doc_id for r in m.garbled(df, "doc_id", "text")[0].collect()} == {1000 + i for i in range(200)}
+    # the same where every garbled text is a different one
+    rows = list(enumerate(texts)) + [(1000 + i, f"{i} {copied[0]}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in m.garbled(df, "doc_id", "text")[0].collect()} == {1000 + i for i in range(200)}
+
+
 def test_lattice_fills_lost_bytes():
     chars = {"’": -1.0, "é": -2.0, "—": -3.0}
     assert m.viterbi([0xE2, 0x80, None], "utf_8", chars, -20)[1] == "’"
