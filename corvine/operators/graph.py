@@ -308,6 +308,18 @@ def condensation(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return ends(edges).join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
+def component_levels(edges: DataFrame) -> DataFrame:
+    """``node, component, level``: the topological level of each node's strongly connected component.
+
+    Cycles have one level, that of their component in the condensation, so no
+    level is null. Components without an edge to or from another have level 0.
+    """
+    checkpoint_dir(edges.sparkSession)
+    comps = components(edges).checkpoint()
+    levels = topological_levels(condensation(edges, comps)).withColumnRenamed("node", "component")
+    return comps.join(levels, "component", "left").select("node", "component", F.coalesce("level", F.lit(0)).alias("level"))
+
+
 def first_callee_flow(edges: DataFrame, names: DataFrame, start: DataFrame, hops: int = 5) -> DataFrame:
     """``root, hop, node``: follows from each start node the callee with the smallest name.
 

@@ -137,10 +137,20 @@ def g_components(spark: SparkSession, base: str) -> DataFrame:
 
 
 def g_topological(spark: SparkSession, base: str) -> DataFrame:
-    """Levels of the calls from smaller to greater ids, which have no cycle."""
+    """Levels of the calls from smaller to greater ids only, which have no cycle; ``g_topological_components`` has the whole graph."""
     return graph.topological_levels(v.graph(spark, base).filter("src < dst"))
 
 
+def g_topological_cycles(spark: SparkSession, base: str) -> DataFrame:
+    """Levels of all calls; null on and behind cycles. SQL can't follow cycles, so there is none."""
+    return graph.topological_levels(v.graph(spark, base))
+
+
+def g_topological_components(spark: SparkSession, base: str) -> DataFrame:
+    """Levels of all calls, each cycle with the level of its component."""
+    return graph.component_levels(v.graph(spark, base))
+
+
 def g_first_callee_flow(spark: SparkSession, base: str) -> DataFrame:
     g = v.graph(spark, base)
     return graph.first_callee_flow(g, _names(spark, base), g.select(F.col("src").alias("node")), 5)
@@ -184,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         g_khop_down, g_khop_up, g_neighbours, g_relationship_tree, g_reach_depth, g_levels, g_descendants, g_ancestors, g_traversed_edges, g_shortest_length,
-        g_shortest_path, g_all_paths, g_top_paths, g_cycles, g_self_loops, g_components, g_topological, g_first_callee_flow, g_call_chains, g_degrees, g_size,
+        g_shortest_path, g_all_paths, g_top_paths, g_cycles, g_self_loops, g_components, g_topological, g_topological_cycles, g_topological_components, g_first_callee_flow, g_call_chains, g_degrees, g_size,
         g_boundary, g_path_cache, g_preorder,
     )
 }

@@ -74,6 +74,26 @@ def strong(pairs):
     return {a: min(b for b in reach[a] if a in reach[b]) for a in reach}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_of_random_graphs(spark, seed, monkeypatch):
+    from corvine.plans import graph_queries as q
+
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(34)] + [(40, 40), (50, 51), (51, 50)]
+    comp = strong(pairs)
+    above = {c: {comp[a] for a, b in pairs if comp[b] == c != comp[a]} for c in comp.values()}
+    depth = lambda c: max((depth(a) + 1 for a in above[c]), default=0)
+    # a node is open if its component or one above it holds a cycle
+    cyclic = {comp[a] for a, b in pairs if comp[a] == comp[b]}
+    behind = lambda c: c in cyclic or any(behind(a) for a in above[c])
+    monkeypatch.setattr(q.v, "graph", lambda spark, base: edges(spark, pairs))
+    whole = {r.node: (r.component, r.level) for r in q.QUERIES["g_topological_components"](spark, "").collect()}
+    assert whole == {n: (c, depth(c)) for n, c in comp.items()}
+    peeled = {r.node: r.level for r in q.QUERIES["g_topological_cycles"](spark, "").collect()}
+    assert peeled == {n: None if behind(c) else depth(c) for n, c in comp.items()}
+    assert None in peeled.values() and any(peeled.values())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_of_random_graphs(spark, seed):
     rng = random.Random(seed)
