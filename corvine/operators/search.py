@@ -30,20 +30,23 @@ def small_side(queries: DataFrame, most: int = QUERIES_AT_ONCE) -> DataFrame:
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, item: str, vector: str, k: int, metric: str = "cosine", least: float | None = None, where: Column | None = None) -> DataFrame:
-    """``query_id, rank, <item>, score``: exact search of a few query vectors (``query_id, q``) in the corpus.
+    """``query_id, rank, <item>, score``: exact search of the query vectors (``query_id, q``) in the corpus.
 
     Cosine: highest first, at least ``least``; l2: the distance, lowest first, below
     ``least``. Vectors that are null, hold nulls or are of another width take no
-    part; a zero vector has the cosine 0. The queries travel with the tasks; each
-    batch of vectors is one matrix product that keeps k candidates a query, so
+    part; a zero vector has the cosine 0. The queries pass through the driver and
+    travel with the tasks in blocks of ``QUERIES_AT_ONCE``, each with its own scan;
+    each batch of vectors is one matrix product that keeps k candidates a query, so
     little is shuffled.
     """
-    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).filter("q IS NOT NULL").limit(QUERIES_AT_ONCE + 1).collect()
-    if len(asked) > QUERIES_AT_ONCE:
-        raise ValueError(f"more than {QUERIES_AT_ONCE} queries at once")
-    by_width: dict[int, list] = {}
-    for r in asked:
-        by_width.setdefault(len(r.q), []).append(r)
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).filter("q IS NOT NULL")
+    by_width: dict[int, list[tuple[list, list]]] = {}
+    for r in asked.toLocalIterator():
+        blocks = by_width.setdefault(len(r.q), [])
+        if not blocks or len(blocks[-1][0]) == QUERIES_AT_ONCE:
+            blocks.append(([], []))
+        blocks[-1][0].append(r.query_id)
+        blocks[-1][1].append(np.array(r.q, np.float64))
     rows = corpus.filter(where) if where is not None else corpus
     kinds, query_kind = dict(rows.dtypes), dict(queries.dtypes)["query_id"]
     id_type = to_arrow_type(queries.schema["query_id"].dataType)
@@ -52,8 +55,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, item: str, vector: str, k: in
     # for cosine larger is better; for a distance its negative
     sign = 1.0 if metric == "cosine" else -1.0
 
-    def part(width: int, mine: list) -> DataFrame:
-        ids, q = [r.query_id for r in mine], np.array([r.q for r in mine], np.float64)
+    def part(width: int, ids: list, q: np.ndarray) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -80,7 +82,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, item: str, vector: str, k: in
 
     if not by_width:
         return rows.select(F.lit(None).cast(query_kind).alias("query_id"), F.lit(0).alias("rank"), item, F.lit(0.0).alias("score")).limit(0)
-    found = [part(width, mine) for width, mine in by_width.items()]
+    found = [part(width, ids, np.stack(q)) for width, blocks in by_width.items() for ids, q in blocks]
     scored = found[0]
     for other in found[1:]:
         scored = scored.unionByName(other)

@@ -32,10 +32,18 @@ def f_nearest_cosine(spark: SparkSession, base: str) -> DataFrame:
 
 
 def f_nearest_batch(spark: SparkSession, base: str) -> DataFrame:
+    # five queries, as in its SQL; f_nearest_every_100th has the whole set
     found = search.nearest(_asked(spark, base, 1, 2, 3, 5, 8), _vectors(spark, base), "vec_id", "embedding", 5)
     return found.withColumn("score", F.round("score", 5))
 
 
+def f_nearest_every_100th(spark: SparkSession, base: str) -> DataFrame:
+    """The batch search over the whole query set: every row whose id is divisible by 100."""
+    rows = _vectors(spark, base)
+    asked = rows.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.nearest(asked, rows, "vec_id", "embedding", 5).withColumn("score", F.round("score", 5))
+
+
 def f_nearest_l2(spark: SparkSession, base: str) -> DataFrame:
     found = search.nearest(_asked(spark, base, 3), _vectors(spark, base), "vec_id", "embedding", 10, "l2", 1.4, F.col("vec_id") != 3)
     return found.withColumn("score", F.round("score", 5))
@@ -139,6 +147,7 @@ b AS (SELECT w.doc_id, greatest(0, least(1, tanh(coalesce(score, 0) / 10))) AS b
 SQL = {
     "f_nearest_cosine": "WITH s AS (" + _NEAR.format(score=_COS, ids="3", more=f"AND {_COS} >= 0.1") + ") " + _RANK.format(how="DESC", k=10),
     "f_nearest_batch": "WITH s AS (" + _NEAR.format(score=_COS, ids="1, 2, 3, 5, 8", more="") + ") " + _RANK.format(how="DESC", k=5),
+    "f_nearest_every_100th": f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS c FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) " + _RANK.format(how="DESC", k=5),
     "f_nearest_l2": "WITH s AS (" + _NEAR.format(score=_L2, ids="3", more=f"AND v.vec_id <> 3 AND {_L2} < 1.4") + ") " + _RANK.format(how="ASC", k=10),
     "f_nearest_chunks": v.with_(v.CHUNK, v.DOC) + """
 , c AS (SELECT * FROM chunk WHERE len(embedding) = 64), q AS (SELECT embedding AS e FROM c ORDER BY id LIMIT 1),

@@ -63,6 +63,19 @@ def test_nearest(spark):
         search.small_side(corpus, 3)
 
 
+def test_nearest_takes_more_queries_than_one_block(spark, monkeypatch):
+    from corvine.plans import search_queries
+
+    n = 2 * search.QUERIES_AT_ONCE + 1
+    corpus = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(n)], "id long, e array<float>")
+    q = corpus.selectExpr("id AS query_id", "e AS q").unionByName(spark.createDataFrame([(-1, [1.0])], "query_id long, q array<float>"))
+    got = search.nearest(q, corpus, "id", "e", 1, "l2").collect()
+    assert sorted((r.query_id, r.id, r.score) for r in got) == [(i, i, 0.0) for i in range(n)]
+    monkeypatch.setattr(search_queries, "_vectors", lambda spark, base: corpus.selectExpr("id AS vec_id", "array(1 + e[0], 1f) AS embedding"))
+    got = search_queries.QUERIES["f_nearest_every_100th"](spark, "").collect()
+    assert {r.query_id for r in got} == set(range(0, n, 100)) and len(got) == 5 * len(range(0, n, 100))
+
+
 DOCS = ["memory allocation error", "memory leak in kernel", "buffer overflow error", None, ""]
 
 
