@@ -202,6 +202,15 @@ def a_path_confidence(spark: SparkSession, base: str) -> DataFrame:
     return path.select("file_path", F.round(c.path_confidence("levels"), 6).alias("product"), F.array_min(number).alias("least"), F.array_max(number).alias("greatest"))
 
 
+def a_path_confidence_all(spark: SparkSession, base: str) -> DataFrame:
+    """The same over all calls of a file; products of many calls are only told apart by their logarithm."""
+    calls = v.edges(spark, base).filter("file_path IS NOT NULL")
+    number = c.lookup(F.col("confidence"), c.CONFIDENCE_LEVEL)
+    weight = F.when(F.col("confidence").isNotNull(), c.lookup(F.col("confidence"), c.CONFIDENCE_PATH, 0.5))
+    path = calls.groupBy("file_path").agg(F.count("confidence").alias("n_calls"), F.sum(F.ln(weight)).alias("s"), F.min(number).alias("least"), F.max(number).alias("greatest"))
+    return path.select("file_path", "n_calls", F.round(F.coalesce(F.exp("s"), F.lit(0.0)), 6).alias("product"), F.round("s", 6).alias("log_product"), "least", "greatest")
+
+
 def w_span_merge(spark: SparkSession, base: str) -> DataFrame:
     return st.merge_spans(v.symbols(spark, base), ["file_id"], "start_line", "end_line")
 
@@ -293,6 +302,10 @@ SELECT call_type, sum(n)::BIGINT AS n, '{' || string_agg('"' || confidence || '"
     "a_path_confidence": v.with_(v.EDGE) + f"""
 , t AS (SELECT file_path, confidence AS x FROM edge WHERE file_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY id) <= 3)
 SELECT file_path, round(coalesce(product(CASE WHEN x IS NOT NULL THEN {_NUMBER.format(0.9, 0.7, 0.5, 0.5)} END), 0), 6) AS product, min({_NUMBER.format(0.95, 0.8, 0.6, 'NULL')})::DOUBLE AS least, max({_NUMBER.format(0.95, 0.8, 0.6, 'NULL')})::DOUBLE AS greatest FROM t GROUP BY 1""",
+    "a_path_confidence_all": v.with_(v.EDGE) + f"""
+, t AS (SELECT file_path, confidence AS x FROM edge WHERE file_path IS NOT NULL),
+w AS (SELECT file_path, x, CASE WHEN x IS NOT NULL THEN {_NUMBER.format(0.9, 0.7, 0.5, 0.5)} END AS p FROM t)
+SELECT file_path, count(x) AS n_calls, round(coalesce(exp(sum(ln(p))), 0), 6) AS product, round(sum(ln(p)), 6) AS log_product, min({_NUMBER.format(0.95, 0.8, 0.6, 'NULL')})::DOUBLE AS least, max({_NUMBER.format(0.95, 0.8, 0.6, 'NULL')})::DOUBLE AS greatest FROM w GROUP BY 1""",
     "w_span_merge": v.with_(v.SYM) + """
 , s AS (SELECT file_id, start_line AS a, greatest(start_line, coalesce(end_line, start_line)) AS b FROM sym WHERE start_line IS NOT NULL),
 m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY file_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM s),

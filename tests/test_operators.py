@@ -115,6 +115,17 @@ def test_columns(spark):
     assert one(spark, c.nearest_rank(F.array(*map(F.lit, [5, 1, 3, 2, 4])), 0.5)) == 3
 
 
+def test_path_confidence_of_all_calls(spark, monkeypatch):
+    from corvine.plans import relational_queries as q
+
+    levels = ["high"] * 4 + ["low", "medium", None]
+    rows = [(i, "a.c", x) for i, x in enumerate(levels)] + [(10, "b.c", None), (11, None, "low")]
+    monkeypatch.setattr(q.v, "edges", lambda spark, base: spark.createDataFrame(rows, "id long, file_path string, confidence string"))
+    got = {r.file_path: tuple(r)[1:] for r in q.QUERIES["a_path_confidence_all"](spark, "").collect()}
+    want = 0.9**4 * 0.5 * 0.7
+    assert got == {"a.c": (6, round(want, 6), round(math.log(want), 6), 0.6, 0.95), "b.c": (0, 0.0, None, None, None)}
+
+
 def test_statistics(spark):
     spans = spark.createDataFrame([("f", 10, 20), ("f", 15, 25), ("f", 26, 30), ("f", 40, None), ("f", None, 3), ("g", 5, 15)], "file string, a int, b int")
     got = {(r.file, r.start, r.end, r.n) for r in st.merge_spans(spans, ["file"], "a", "b").collect()}
