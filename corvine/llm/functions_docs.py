@@ -20,7 +20,8 @@ FLAGS = regex.VERSION1 | regex.MULTILINE
 
 # Parts that the C-like languages share. A body is braces in balance, a paren
 # group parentheses in balance; strings and comments inside count as one item.
-# What isn't closed reaches to the end, so broken text is read only once.
+# What isn't closed reaches to the end; ``_matches`` then blanks what is never
+# closed and goes on, so broken text is read twice at most.
 _SHARED = r"""
 (?<lin>//[^\n]*+)
 (?<body>\{(?:[^{}"'/]++|(?&str)|(?&chr)|(?&blk)|(?&lin)|(?&body)|[/'"])*+(?:\}|\Z))
@@ -189,12 +190,53 @@ def _python_body(text: str, m: regex.Match) -> str:
     return text[end:stop].rstrip()
 
 
+@lru_cache(maxsize=None)
+def _marks(language: str) -> regex.Pattern:
+    parts = {"c": _C_PARTS, "rust": _RUST_PARTS}[language]
+    return regex.compile(_define(_SHARED, parts) + r"(?:(?&str)|(?&chr)|(?&blk)|(?&lin)|(?<mark>[{}()]))", FLAGS)
+
+
+def unclosed(text: str, language: str) -> list[int]:
+    """The places of braces and parentheses that are never closed, strings and comments left out.
+
+    A brace closes the last open one, so of braces that are split over #ifdef and
+    #else the first is left. Each brace here is a body that can't be told.
+    """
+    if language == "python":
+        return []
+    opened: list[int] = []
+    never: list[int] = []
+    braces = 0
+    for m in _marks(language).finditer(text):
+        mark = m.group("mark")
+        if mark in ("{", "("):
+            opened.append(m.start())
+            braces += mark == "{"
+        elif mark == ")" and opened and text[opened[-1]] == "(":
+            opened.pop()
+        elif mark == "}" and braces:
+            while text[opened[-1]] == "(":
+                never.append(opened.pop())
+            opened.pop()
+            braces -= 1
+    return sorted(never + opened)
+
+
 def _matches(text: str, language: str) -> Iterator[tuple[regex.Match, int]]:
     """The functions in the text, those inside Rust bodies included, with the place of their text."""
     parts = [(text, 0)]
     while parts:
         part, base = parts.pop()
-        for m in _compiled(language).finditer(part):
+        scan = _compiled(language).finditer(part)
+        whole = False
+        while (m := next(scan, None)) is not None:
+            if language != "python" and not whole and m.end() == len(part):
+                whole = True
+                if never := [x for x in unclosed(part, language) if x >= m.start()]:
+                    pieces = [part[a + 1 : b] for a, b in zip([-1, *never], [*never, len(part)])]
+                    part = ";".join(pieces)  # ends the signature before it
+                    scan = _compiled(language).finditer(part, m.start())
+                    continue
             if not m.group("sig"):
                 continue
             yield m, base
@@ -205,7 +247,8 @@ def _matches(text: str, language: str) -> Iterator[tuple[regex.Match, int]]:
 def extract(text: str, language: str) -> list[tuple[str, str, str, str, int]]:
     """(name, signature, description, code, first line) of each documented function.
 
-    What follows a brace that is never closed isn't read.
+    A function whose own brace is never closed is left out (see ``unclosed``);
+    those that follow it aren't.
     """
     found: dict[str, tuple[str, str, str, str, int]] = {}
     breaks: list[int] | None = None
@@ -219,7 +262,7 @@ def extract(text: str, language: str) -> list[tuple[str, str, str, str, int]]:
         description = clean(_docstring(doc) if language == "python" else doc, name)
         if is_trivial(description):
             continue
-        code = _python_body(text, m) if language == "python" else m.group("code")
+        code = _python_body(text, m) if language == "python" else text[base + m.start("code") : base + m.end("code")]
         if breaks is None:
             breaks = [b.start() for b in _BREAK.finditer(text)]
         found[name] = (name, " ".join(m.group("sig").split()), description, code, bisect.bisect_left(breaks, base + m.start("sig")) + 1)
@@ -234,8 +277,7 @@ def pairs(df: DataFrame, key: str, path: str, content_type: str, text: str) -> D
 
     One row per documented function or method of each source file; of several
     with one name in a file the first counts. Files of other languages, null and
-    empty texts give no rows; what follows a brace that is never closed isn't
-    read. Repeated rows are taken one by one. Other columns
+    empty texts give no rows; nor do functions whose own brace is never closed. Repeated rows are taken one by one. Other columns
     aren't read, whatever their names.
     """
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from corvine.llm import functions_docs as fd
 
 
@@ -171,3 +173,25 @@ def test_frame(spark):
     assert fd.pairs(df.limit(0), "id", "source_path", "content_type", "content").count() == 0
     lines = fd.pairs(df.filter("id = 6"), "id", "source_path", "content_type", "content").agg({"line": "max"}).first()[0]
     assert lines == 40_000
+
+
+_G = "/** Adds two small numbers together. */\nint add(int a, int b) {\n  return a + b;\n}\n"
+_FN = "/// Adds two small numbers together.\nfn add(a: u8) -> u8 {\n    a\n}\n"
+
+
+@pytest.mark.parametrize(
+    "language, broken, rest, n",
+    [
+        ("c", "/** Opens a thing and loses it. */\nint lost(int a) {\n  if (a) {\n    a++;\n}\n\n", _G, 1),
+        ("c", "#ifdef A\nint two(int a) {\n#else\nint two(long a) {\n#endif\n  return 0;\n}\n\n", _G, 1),
+        ("c", "int call = f(1, (2;\nint x[] = { 1, '{', \n\n", _G, 3),
+        ("rust", "/// Opens a thing and loses it.\nfn lost(a: u8) {\n    if a {\n}\n\n", _FN, 1),
+        ("c", "int f(void) {\n" * 20_000, _G, 20_000),
+    ],
+)
+def test_functions_after_an_unclosed_brace_are_found(language, broken, rest, n):
+    text = broken + rest
+    assert len(fd.unclosed(text, language)) == n and fd.unclosed(rest, language) == []
+    found = fd.extract(text, language)
+    assert [(f[0], f[4]) for f in found] == [("add", broken.count("\n") + 2)]
+    assert found[0][3] == rest[rest.index("{") : rest.rindex("}") + 1]
