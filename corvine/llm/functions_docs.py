@@ -41,7 +41,7 @@ _RUST_PARTS = r"""
 (?<str>"(?:[^"\\]|\\[\s\S])*+(?:"|\Z))
 (?<blk>/\*(?:[^*/]++|\*(?!/)|/(?!\*)|(?&blk))*+(?:\*/|\Z))
 (?<attr>\#!?(?&square))
-(?<head>(?:[^{};"'/()]++|(?&paren)|(?&str)|(?&chr)|(?&blk)|(?&lin)|['/])*+)
+(?<head>(?:[^{};"'/()\[\]]++|(?&paren)|(?&square)|(?&str)|(?&chr)|(?&blk)|(?&lin)|['/])*+)
 """
 
 

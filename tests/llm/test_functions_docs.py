@@ -195,3 +195,10 @@ def test_functions_after_an_unclosed_brace_are_found(language, broken, rest, n):
     found = fd.extract(text, language)
     assert [(f[0], f[4]) for f in found] == [("add", broken.count("\n") + 2)]
     assert found[0][3] == rest[rest.index("{") : rest.rindex("}") + 1]
+
+
+def test_rust_array_types_in_the_head():
+    doc = "/// Gives a key of fixed length.\n"
+    heads = ["fn a() -> [u8; 32]", "fn b<T>(x: [T; 2]) -> &'static [[u8; 4]; 2] where [T; 2]: Sized", "fn c() -> [u8; { 1 + 2 }]", "fn d(x: &[u8]) -> &[u8]"]
+    text = "".join(f"{doc}{h} {{\n    todo()\n}}\n\n" for h in heads) + f"{doc}fn declared() -> [u8; 32];\n"
+    assert [(f[1], f[3]) for f in fd.extract(text, "rust")] == [(h, "{\n    todo()\n}") for h in heads]
