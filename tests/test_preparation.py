@@ -101,3 +101,18 @@ def test_runs_that_fail_lose_nothing_and_repeat_nothing(spark, tmp_path):
     assert 0 < n <= 3 and len(calls[-1]) < 40
     assert sorted((r.content_id, r.done) for r in job.rows().collect()) == sorted((i, h.upper()) for i, h in second)
     assert job.run(table(second)) == 0
+
+
+def test_the_job_is_registered_over_whole_tables(spark, monkeypatch):
+    import hashlib
+
+    from corvine.plans import preparation
+
+    tables = {
+        "indexed_content": spark.createDataFrame([(i, f"H{i % 7}", T0 + timedelta(days=d)) for i in range(200) for d in (0, i % 2)], "id long, content_hash string, updated_at timestamp"),
+        "content_ledger": spark.createDataFrame([(i, f"h{i % 5}", "ok", 1, T0) for i in range(150, 300)], "content_id long, content_hash string, outcome string, run_id long, processed_at timestamp"),
+        "index_run": spark.createDataFrame([(1, "completed")], "run_id long, status string"),
+    }
+    monkeypatch.setattr(preparation, "table", lambda spark, base, name: tables[name])
+    got = sorted(tuple(r) for r in preparation.QUERIES["p4_replaced"](spark, "").select("content_id", "content_hash", "digest").collect())
+    assert got == [(i, h, hashlib.md5(h.encode()).hexdigest()) for i in range(200) for h in [f"h{i % 7}"]]
