@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from corvine.session import checkpoint_dir
+
 _STATE = StructType(
     [
         StructField("part", LongType()),
@@ -165,6 +167,10 @@ def heavy_keys(summary: DataFrame, least_share: float) -> DataFrame:
     """The keys of a summary that hold at least ``least_share`` of all items; null is no key.
 
     The whole includes the items under the null key. An empty summary gives no rows.
+    The summary is written once, one narrow row per key, as the total and the
+    comparison both need it.
     """
+    checkpoint_dir(summary.sparkSession)
+    summary = summary.checkpoint()
     total = summary.agg(F.sum("n_items").alias("total")).scalar()
     return summary.filter(F.col("key").isNotNull() & (F.col("n_items") >= F.lit(least_share) * total))
