@@ -1,15 +1,19 @@
 """References to records that don't exist.
 
 Keys are cut into ranges at sampled quantiles of references and parents
-together. A key that fills several quantiles becomes a range of its own with as
-many slices; its parents are sent to every slice, its references to one each.
-Within a slice the parents come first and become sorted arrays, and batches of
-references are then probed by binary search while they stream by, so memory
-follows the parents of one range, never the references.
+together, as many as the counted rows ask for, so a range holds about
+``SLICE_ROWS`` of them at any size. A key that fills several quantiles becomes a
+range of its own with as many slices; its parents are sent to every slice, its
+references to one each. Slices are numbered without gaps and each number is a
+partition of its own, so no two share a task by chance. Within a slice the
+parents come first and become sorted arrays, and batches of references are then
+probed by binary search while they stream by, so memory follows the parents of
+one range, never the references.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+SLICE_ROWS = 200_000  # references and parents of a slice, about
+SAMPLED_PER_RANGE = 2_000  # rows of the sample for each cut, about
+
 _FAR = np.iinfo(np.int64).max
 _NEAR = np.iinfo(np.int64).min
 
@@ -85,22 +92,21 @@ _KINDS = np.array(["", "missing", "deleted", "late"], dtype=object)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at: tuple[int, int] | None = None
+    at: int | None = None
     rows: list[np.ndarray] = []
     held = 0
     parents = None
     for batch in batches:
-        rng, part, kind, key, ref, field, t, end = (batch.column(i) for i in range(8))
-        rng, part, kind, key = (x.to_numpy(zero_copy_only=False) for x in (rng, part, kind, key))
+        place, kind, key, ref, field, t, end = (batch.column(i) for i in range(7))
+        place, kind, key = (x.to_numpy(zero_copy_only=False) for x in (place, kind, key))
         t_null = t.is_null().to_numpy(zero_copy_only=False)
         t = t.fill_null(0).to_numpy(zero_copy_only=False)
         end = end.fill_null(_FAR).to_numpy(zero_copy_only=False)
-        place = rng.astype(np.int64) << 32 | part
         edges = [0, *(np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1), len(place)]
         for a, b in zip(edges, edges[1:]):
             if a == b:
                 continue
-            here = (int(rng[a]), int(part[a]))
+            here = int(place[a])
             if here != at:
                 at, rows, held, parents = here, [], 0, None
             if kind[a] == 0:
@@ -122,7 +128,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def orphans(refs: DataFrame, ref_id: str, fields: list[str], ts: str, parents: DataFrame, parent_id: str, begin: str, end: str, ranges: int | None = None, fraction: float = 0.05) -> DataFrame:
+def orphans(refs: DataFrame, ref_id: str, fields: list[str], ts: str, parents: DataFrame, parent_id: str, begin: str, end: str, ranges: int | None = None, fraction: float | None = None) -> DataFrame:
     """``ref_id, ref_field, orphan_kind, ts`` of the references without an existing parent.
 
     A parent row exists from ``begin`` (inclusive) until ``end`` (exclusive; null:
@@ -133,44 +139,42 @@ def orphans(refs: DataFrame, ref_id: str, fields: list[str], ts: str, parents: D
     ``missing`` or ``late``. Repeated rows count once. An empty parent table
     leaves every reference missing; empty references give no rows.
     """
-    spark = refs.sparkSession
-    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("ref_field"), F.col(f).cast("long").alias("key")) for f in fields)))
     wide = refs.select(F.col(ref_id).cast("long").alias("ref_id"), us(ts).alias("t"), pairs.alias("p"))
     right = wide.select(F.col("p.key").alias("key"), "ref_id", F.col("p.ref_field").alias("ref_field"), "t").filter(F.col("key").isNotNull())
-    left = parents.select(F.col(parent_id).cast("long").alias("key"), us(begin).alias("t"), us(end).alias("end")).filter(F.col("key").isNotNull()).distinct()
+    left = parents.select(F.col(parent_id).cast("long").alias("key"), us(begin).alias("t"), us(end).alias("end")).filter(F.col("key").isNotNull())
 
+    # counts come from the footers of the files; they and the sample only decide the layout
+    rows = refs.count() * len(fields) + parents.count()
+    ranges = ranges or max(8, math.ceil(rows / SLICE_ROWS))
     # a sample for the cuts: straight from the scans, without the unpivot
     keys = [refs.select(F.col(f).cast("long").alias("key")) for f in fields] + [parents.select(F.col(parent_id).cast("long").alias("key"))]
     union = keys[0]
     for k in keys[1:]:
         union = union.unionAll(k)
-    cuts, slices = key_ranges(union.filter(F.col("key").isNotNull()), ranges, fraction)
+    cuts, slices = key_ranges(union.filter(F.col("key").isNotNull()), ranges, fraction or min(1.0, SAMPLED_PER_RANGE * ranges / max(rows, 1)))
     bounds, width = np.array(cuts, np.int64), np.array(slices, np.int64)
+    first = np.cumsum(width) - width  # the number of each range's first slice
 
     @F.pandas_udf("int")
     def range_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), "right").astype(np.int32))
 
-    sizes = F.lit([int(w) for w in width])
-    slice_count = F.element_at(sizes, F.col("rng") + 1)
+    at = lambda values: F.element_at(F.lit([int(x) for x in values]), F.col("rng") + 1)
     refs_placed = right.withColumn("rng", range_of("key")).select(
-        "rng",
-        F.pmod(F.xxhash64("ref_id"), slice_count).cast("int").alias("part"),
+        (at(first) + F.pmod(F.xxhash64("ref_id"), at(width))).cast("int").alias("slice"),
         F.lit(1).alias("kind"),
         "key", "ref_id", "ref_field", "t",
         F.lit(None).cast("long").alias("end"),
     )
     parents_placed = left.withColumn("rng", range_of("key")).select(
-        "rng",
-        F.explode(F.sequence(F.lit(0), (slice_count - 1).cast("int"))).alias("part"),
+        F.explode(F.sequence(at(first), (at(first) + at(width) - 1).cast("int"))).alias("slice"),
         F.lit(0).alias("kind"),
         "key", F.lit(None).cast("long").alias("ref_id"), F.lit(None).cast("string").alias("ref_field"), "t", "end",
     )
     placed = parents_placed.unionByName(refs_placed)
-    total = int(width.sum())
-    misses = placed.repartition(min(total, 4 * ranges), "rng", "part").sortWithinPartitions("rng", "part", "kind").mapInArrow(_stream, _MISS)
+    misses = placed.repartitionById(int(width.sum()), "slice").sortWithinPartitions("slice", "kind").mapInArrow(_stream, _MISS)
     once = misses.dropDuplicates(["ref_id", "ref_field", "orphan_kind", "ts_us"])
     return once.select("ref_id", "ref_field", "orphan_kind", F.timestamp_micros("ts_us").alias("ts"))
 
