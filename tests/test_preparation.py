@@ -86,13 +86,13 @@ def test_runs_that_fail_lose_nothing_and_repeat_nothing(spark, tmp_path):
 
     def derive(df):
         calls.append(sorted(r.content_id for r in df.select("content_id").collect()))
-        return df.select("content_id", F.upper("content_hash").alias("done"))
+        return df.withColumn("done", F.upper("content_hash")).drop("content_hash")
 
-    job = incremental.IncrementalJob(spark, str(tmp_path / "state"), "content_id", "content_hash", derive, 8)
+    job = incremental.IncrementalJob(spark, str(tmp_path / "state"), "content_id", "content_hash", derive, buckets=8)
     table = lambda rows: spark.createDataFrame(rows, "content_id long, content_hash string")
     first = [(i, f"h{i}") for i in range(60)]
-    with pytest.raises(RuntimeError):
-        job.run(table(first), fail_before_commit=True)
+    assert job.rows() is None and job.run(table([])) == 0
+    assert job.stage(table(first)).n_changed == 8 and job.version() == 0  # dies before the commit
     assert job.run(table(first)) == 8 and job.rows().count() == 60
     assert job.run(table(first)) == 0
     second = [(i, f"h{i}") for i in range(1, 60)] + [(100, "new")]
@@ -101,6 +101,33 @@ def test_runs_that_fail_lose_nothing_and_repeat_nothing(spark, tmp_path):
     assert 0 < n <= 3 and len(calls[-1]) < 40
     assert sorted((r.content_id, r.done) for r in job.rows().collect()) == sorted((i, h.upper()) for i, h in second)
     assert job.run(table(second)) == 0
+    # partitions that vanish, or that derive nothing any more, leave no rows behind
+    assert job.run(table(second[:1])) == 8 and [r.content_id for r in job.rows().collect()] == [1]
+    job.derive = lambda df: derive(df).limit(0)
+    assert job.run(table([(1, "other")])) == 1 and job.rows().count() == 0
+
+
+def test_partitions_by_period_are_skipped(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    job = incremental.IncrementalJob(spark, str(tmp_path / "state"), "id", "v", lambda df: df, F.date_format("t", "yyyy-MM-dd"))
+    feed = lambda rows: spark.createDataFrame([(i, v, T0 + timedelta(days=d) if d is not None else None) for i, v, d in rows], "id long, v string, t timestamp")
+    first = [(1, "a", 0), (1, "a", 0), (1, "b", 1), (2, None, 1), (3, "c", None), (None, "x", 0)]
+    assert job.run(feed(first)) == 3 and job.rows().count() == 5
+    staged = job.stage(feed([*first, (4, "d", 2), (5, "e", 1)]))
+    assert (staged.n_parts, staged.n_changed) == (4, 2)
+    job.commit(staged)
+    assert sorted(r.id for r in job.rows().collect()) == [1, 1, 1, 2, 3, 4, 5] and job.version() == 2
+
+
+def test_pending_content_goes_through_the_job(spark):
+    content = spark.createDataFrame([(i, f"H{i % 7}", T0 + timedelta(days=d)) for i in range(200) for d in (0, i % 2)], "id long, content_hash string, updated_at timestamp")
+    ledger = spark.createDataFrame([(i, f"h{i % 5}", o, r, T0) for i in range(150, 300) for o, r in (("ok", 1), ("error", 1), ("ok", 2))], "content_id long, content_hash string, outcome string, run_id long, processed_at timestamp")
+    runs = spark.createDataFrame([(1, "completed"), (2, "failed")], "run_id long, status string")
+    got = sorted(tuple(r) for r in incremental.pending_content(content, ledger, runs).select("content_id", "content_hash").collect())
+    assert got == [(i, f"h{i % 7}") for i in range(200) if i < 150 or i % 7 != i % 5]
+    assert incremental.pending_content(content.limit(0), ledger, runs).count() == 0
+    assert incremental.pending_content(content, ledger.limit(0), runs).count() == 200
 
 
 def test_the_job_is_registered_over_whole_tables(spark, monkeypatch):
@@ -111,8 +138,9 @@ def test_the_job_is_registered_over_whole_tables(spark, monkeypatch):
     tables = {
         "indexed_content": spark.createDataFrame([(i, f"H{i % 7}", T0 + timedelta(days=d)) for i in range(200) for d in (0, i % 2)], "id long, content_hash string, updated_at timestamp"),
         "content_ledger": spark.createDataFrame([(i, f"h{i % 5}", "ok", 1, T0) for i in range(150, 300)], "content_id long, content_hash string, outcome string, run_id long, processed_at timestamp"),
-        "index_run": spark.createDataFrame([(1, "completed")], "run_id long, status string"),
+        "index_run": spark.createDataFrame([(1, "completed", T0 + timedelta(hours=5))], "run_id long, status string, started_at timestamp"),
     }
     monkeypatch.setattr(preparation, "table", lambda spark, base, name: tables[name])
     got = sorted(tuple(r) for r in preparation.QUERIES["p4_replaced"](spark, "").select("content_id", "content_hash", "digest").collect())
-    assert got == [(i, h, hashlib.md5(h.encode()).hexdigest()) for i in range(200) for h in [f"h{i % 7}"]]
+    assert got == sorted((i, h, hashlib.md5(h.encode()).hexdigest()) for i in range(200) for h in [f"h{i % 7}"] for _ in range(1 + i % 2))
+    assert tuple(preparation.QUERIES["p4_skipped"](spark, "").first()) == (2, 1, 1)
