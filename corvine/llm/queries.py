@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import functions_docs, mixing, mojibake, packing, splitting, tokens, vectors
 from corvine.sources.tables import latest_rows, table
 
 
+MOST = 1_000  # rows of a small table; beyond it a query refuses
+
+
+def _few(df: DataFrame) -> list[Row]:
+    """All rows of a table that is small by its meaning."""
+    rows = df.limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} rows")
+    return rows
+
+
 def _limits(spark: SparkSession, base: str) -> dict[str, tuple[int, int]]:
-    """size_limit has four rows."""
-    return {r.limit_name: (r.max_size, r.overlap) for r in table(spark, base, "size_limit").limit(100).collect()}
+    return {r.limit_name: (r.max_size, r.overlap) for r in _few(table(spark, base, "size_limit"))}
 
 
 def current_content(spark: SparkSession, base: str, *columns: str) -> DataFrame:
@@ -60,6 +70,22 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
 
 
+def p6_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Every usable vector with its class of equal vectors and the number of other classes near it."""
+    members, links = vectors.linked_classes(_usable(spark, base), WIDTH, LEAST_COSINE)
+    sides = links.select(F.explode(F.array("x", "y")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    rows = members.select("cls", "rep", "key").distinct().join(sides, "cls", "left")
+    return rows.select(F.col("key").alias("vec_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def p6_links(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of representatives of classes that are near each other."""
+    members, links = vectors.linked_classes(_usable(spark, base), WIDTH, LEAST_COSINE)
+    rep = members.groupBy("cls").agg(F.first("rep").alias("rep"))
+    named = links.join(rep.select(F.col("cls").alias("x"), F.col("rep").alias("a")), "x").join(rep.select(F.col("cls").alias("y"), F.col("rep").alias("b")), "y")
+    return named.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), F.round("cosine", 5).alias("cosine"))
+
+
 def p6_neighbours(spark: SparkSession, base: str) -> DataFrame:
     """The ten most similar of every vector whose id is divisible by 100, among all."""
     base_vectors = _usable(spark, base)
@@ -72,7 +98,7 @@ def _sizes(spark: SparkSession, base: str, *keep: str) -> DataFrame:
 
 
 def p7_packed(spark: SparkSession, base: str) -> DataFrame:
-    limits = {r.limit_name: r.max_size for r in table(spark, base, "size_limit").filter("unit = 'token'").limit(100).collect()}
+    limits = {r.limit_name: r.max_size for r in _few(table(spark, base, "size_limit").filter("unit = 'token'"))}
     return packing.pack(_sizes(spark, base), "doc_id", "n_tokens", limits)
 
 
@@ -90,7 +116,7 @@ LANGUAGES = ["en", "de", "fr", "es", "pt", "pl", "cs", "ru", "zh", "ja"]
 
 
 def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    targets = {r.source: (r.target_share, r.max_repeats) for r in table(spark, base, "mix_target").limit(1000).collect()}
+    targets = {r.source: (r.target_share, r.max_repeats) for r in _few(table(spark, base, "mix_target"))}
     return mixing.mix(_sizes(spark, base, "source", "lang"), "doc_id", "source", "lang", "n_tokens", targets, DOMAINS, LANGUAGES)
 
 
@@ -110,13 +136,18 @@ def p9_restored(spark: SparkSession, base: str) -> DataFrame:
     return mojibake.restore(table(spark, base, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p6_found, p6_neighbours, p7_packed, p7_summary, p8_mix, p8_shares, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p6_found, p6_classes, p6_links, p6_neighbours, p7_packed, p7_summary, p8_mix, p8_shares, p9_found, p9_restored)}
 
 _USABLE = f"""
 WITH v AS (SELECT DISTINCT id, content_id, embedding::DOUBLE[] AS e FROM vector_embedding
            WHERE len(embedding) = {WIDTH} AND list_max(list_transform(embedding, lambda x: abs(x))) > 0)
 """
 
+_CLASSES = _USABLE + f""",
+r AS (SELECT e, min(id) AS rep FROM v GROUP BY e),
+l AS (SELECT a.rep AS class_a, b.rep AS class_b, list_cosine_similarity(a.e, b.e) AS cosine FROM r a JOIN r b ON a.rep < b.rep WHERE list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE})
+"""
+
 SQL = {
     "p2_found": """
 WITH cur AS (SELECT id, arg_max(content, updated_at) AS content FROM indexed_content GROUP BY id),
@@ -133,6 +164,10 @@ SELECT id AS content_id, CASE WHEN line <= 2000 THEN 'line' WHEN word <= 2000 TH
 SELECT DISTINCT least(a.id, b.id) AS vec_id_a, greatest(a.id, b.id) AS vec_id_b
 FROM v a JOIN v b ON a.id < b.id AND a.content_id <> b.content_id
 WHERE list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE}""",
+    "p6_classes": _CLASSES + """,
+n AS (SELECT c, count(*) AS n FROM (SELECT class_a AS c FROM l UNION ALL SELECT class_b FROM l) GROUP BY c)
+SELECT DISTINCT v.id AS vec_id, r.rep AS class_id, coalesce(n.n, 0) AS n_links FROM v JOIN r ON r.e = v.e LEFT JOIN n ON n.c = r.rep""",
+    "p6_links": _CLASSES + "SELECT class_a, class_b, round(cosine, 5) AS cosine FROM l",
     "p6_neighbours": _USABLE + """,
 s AS (SELECT a.id AS vec_id, b.id AS neighbour_id, max(list_cosine_similarity(a.e, b.e)) AS c
       FROM v a JOIN v b ON a.content_id <> b.content_id WHERE a.id % 100 = 0 GROUP BY 1, 2),
