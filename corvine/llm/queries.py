@@ -50,7 +50,7 @@ def _pairs(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
-    return _pairs(spark, base).select("content_id", "func_name")
+    return _pairs(spark, base).filter("nth = 0").select("content_id", "func_name")
 
 
 def p3_pairs(spark: SparkSession, base: str) -> DataFrame:

@@ -202,3 +202,53 @@ def test_rust_array_types_in_the_head():
     heads = ["fn a() -> [u8; 32]", "fn b<T>(x: [T; 2]) -> &'static [[u8; 4]; 2] where [T; 2]: Sized", "fn c() -> [u8; { 1 + 2 }]", "fn d(x: &[u8]) -> &[u8]"]
     text = "".join(f"{doc}{h} {{\n    todo()\n}}\n\n" for h in heads) + f"{doc}fn declared() -> [u8; 32];\n"
     assert [(f[1], f[3]) for f in fd.extract(text, "rust")] == [(h, "{\n    todo()\n}") for h in heads]
+
+
+D = "/* This does a thing for real. */\n"
+
+
+def places(text, language="c"):
+    return [(f[0], f[4]) for f in fd.extract(text, language)]
+
+
+def test_braces_split_over_branches():
+    split = D + "int a(int x)\n{\n#ifdef FOO\n\tif (x) {\n#else\n\tif (!x) {\n#endif\n\t\treturn 1;\n\t}\n\treturn 0;\n}\n" + D + "int b(void) { return 1; }\n"
+    assert places(split) == [("a", 2), ("b", 14)]
+    assert fd.extract(split, "c")[0][3].count("#") == 3  # the code is that of the text
+    heads = "#ifdef A\n" + D + "int a(int x)\n{\n#else\n" + D + "int a(long x)\n{\n#endif\n return 1;\n}\n" + D + "int b(void) { return 1; }\n"
+    assert [n for n, _ in places(heads)] == ["a", "b"]
+    both = "#ifdef A\n" + D + "int a(int x) { return 1; }\n#elif B\n" + D + "int c(long x)\n{ return 2; }\n#else\n#define c '{'\n#endif\n" + D + "int b(void) { return 1; }\n"
+    assert [n for n, _ in places(both)] == ["a", "c", "b"]
+    never = D + "int a(void)\n{\n#if 0 /* off */\n\tif (x) {\n\t{\n#else\n\t{\n#endif\n\t}\n}\n" + D + "int b(void) { }\n"
+    assert [n for n, _ in places(never)] == ["a", "b"]
+    nested = D + "int a(void)\n{\n#if A\n#if B\n\tif (x) {\n#else\n\t{\n#endif\n#else\n\t{\n#endif\n\t}\n}\n" + D + "int b(void) { }\n"
+    assert [n for n, _ in places(nested)] == ["a", "b"]
+
+
+def test_settling_keeps_the_length_and_what_is_quoted():
+    text = "/*\n#else\n{ */\nchar *s = \"\n#else {\";\n#if A\n{\n#else /* two\nlines */ {\n#endif\n}\n  x #else {\n"
+    out = fd.settled(text)
+    assert len(out) == len(text) and out.count("\n") == text.count("\n")
+    assert "/*\n#else\n{ */" in out and "#if A" not in out and "#endif" not in out
+    assert fd.settled("#if A\n#else") == "     \n     " and fd.settled("#else\n#endif\n") == "     \n      \n"
+
+
+def test_old_definitions_and_system_calls():
+    text = D + "int a(x, y)\n\tint x;\n\tchar *y;\n{ return 1; }\n" + D + "SYSCALL_DEFINE2(open, const char __user *, name, int, flags)\n{ return 1;\n}\nDECLARE(x)\nint z;\n" + D + "int b(void) { }\n"
+    assert places(text) == [("a", 2), ("open", 7), ("b", 13)]
+
+
+def test_cpp_scopes():
+    text = (
+        "namespace n {\n" + D + "int a() { return 1'000; }\nclass Foo : public Bar {\npublic:\n" + D + "  Foo(int x) : x_{x}, y_(2) { go(); }\n" + D + "  int run() const override { return 1; }\n"
+        + D + "  template <typename T> T get(T t) { return t; }\n};\nclass Other {\n" + D + "  int run() { return R\"x(}})x\"[0]; }\n};\n}\n" + D + "void Foo::sub(int a) { }\n" + D + "Foo::~Foo() { }\n"
+    )
+    assert [n for n, _ in places(text, "cpp")] == ["a", "Foo", "run", "get", "run", "sub", "~Foo"]
+    assert fd.language_of("x/y.cpp", None) == "cpp"
+
+
+def test_methods_of_one_name_all_come_out(spark):
+    text = 'class A:\n    def run(self):\n        """Runs the thing a first time."""\n        return 1\n\nclass B:\n    def run(self):\n        """Runs the thing a second time."""\n        return 2\n'
+    df = spark.createDataFrame([(1, "a.py", "source_file", text)], "id long, path string, kind string, content string")
+    got = fd.pairs(df, "id", "path", "kind", "content").orderBy("line").collect()
+    assert [(r.func_name, r.nth, r.line) for r in got] == [("run", 0, 2), ("run", 1, 7)] and "second" in got[1].description
