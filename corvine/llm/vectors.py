@@ -11,9 +11,10 @@ only what the tables let through is compared exactly.
 
 Two kinds of search differ in what they visit. ``neighbours`` visits the best
 cells of each query, as many as held-out queries need for the wanted recall.
-``similar_pairs`` is exact: it visits every cell whose border is nearer than two
-similar vectors can be apart, and lets through whatever the known residual of a
-code could lift to the wanted cosine.
+``similar_pairs`` visits every cell whose border is nearer than two similar
+vectors can be apart across it, and lets through whatever the known residual of
+a code could lift to the wanted cosine; only the first may lose a pair, with a
+stated probability, and not at all if asked for.
 
 Cells and codebooks are fitted on a bounded sample; every vector is indexed.
 """
@@ -34,7 +35,8 @@ from corvine.session import checkpoint_dir
 SAMPLE = 65_536  # vectors that the index is fitted on, at most
 COARSE = 2_048  # coarse cells at most; their centres are sent to every task
 FINE = 256  # finer cells of each at most
-BLOCK = 8_192  # vectors of a cell that one table scan covers
+BLOCK = 32_768  # vectors of a cell that one table scan covers
+SIGMAS = 4.5  # of the distance of two similar vectors across a border; 3 in a million are further apart
 HELD_OUT = 1_000  # sampled vectors that aren't fitted on but measure the recall
 THRESHOLD = 0.2  # T of the score-aware loss: scores below it don't matter
 WORDS = 16
@@ -70,11 +72,13 @@ class Index:
         return _top(score.reshape(len(x), len(self.centres) * f), m)
 
     def within(self, x: np.ndarray, home: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell): every cell numbered above the home that can hold a vector within ``reach`` of the row's.
+        """(row, cell): every other cell that can hold a vector within ``reach`` of the row's, of two cells one.
 
         A vector of another cell lies behind the plane half-way between the two
         centres, so the distance to that plane is a bound. It is taken between
         coarse cells first, then between the fine cells of those that are left.
+        Of two cells the greater is visited if their sum is even, else the
+        smaller, so visits are spread evenly.
         """
         f = len(self.fine)
         s = x @ self.centres.T
@@ -82,14 +86,14 @@ class Index:
         gap = s[np.arange(len(x)), top][:, None] - s
         row, coarse = np.nonzero(gap <= reach * self.apart_coarse[top] + _SLACK)
         if f == 1:
-            keep = coarse > home[row]
+            keep = _one_way(home[row], coarse)
             return row[keep], coarse[keep]
         at = (x @ self.fine.T)[row] - self.shift[coarse]
         own = at.argmax(1)
         near = at[np.arange(len(row)), own][:, None] - at <= reach * self.apart[own] + _SLACK
         pair, fine = np.nonzero(near)
         cell = coarse[pair] * f + fine
-        keep = cell > home[row[pair]]
+        keep = _one_way(home[row[pair]], cell)
         return row[pair][keep], cell[keep]
 
     def encode(self, x: np.ndarray) -> np.ndarray:
@@ -128,6 +132,10 @@ class Index:
         return out
 
 
+def _one_way(home: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (home != cell) & ((cell > home) == ((cell + home) % 2 == 0))
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Spherical k-means; empty cells restart at a random vector."""
     centres = x[rng.choice(len(x), k, replace=False)].copy()
@@ -248,10 +256,10 @@ def fit(sample: np.ndarray, total: int, seed: int = 11, k: int = 10, recall: flo
     c = coarse or int(min(COARSE, max(1, np.sqrt(total)), max(1, len(rest) // 8)))
     f = fine or int(min(FINE, max(1, np.ceil(2 * total / (c * BLOCK)))) if c == COARSE else 1)
     centres = _kmeans(rest, c, rng)
-    left = rest[: 4 * BLOCK]
+    left = rest[:BLOCK]
     residual = _residual_means(left - centres[_nearest(left, centres, 1)[:, 0]], f, rng)
     eta = max(1.0, (dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-    index = Index(centres, residual, _codebooks(rest[:BLOCK], eta, rng), np.ones(c * f, np.int64), eta, 1)
+    index = Index(centres, residual, _codebooks(rest[:8_192], eta, rng), np.ones(c * f, np.int64), eta, 1)
     homes = index.homes(rest)
     index.blocks = np.maximum(1, np.ceil(np.bincount(homes, minlength=c * f) / len(rest) * total / BLOCK)).astype(np.int64)
     if held:
@@ -335,8 +343,8 @@ def _spread(key: np.ndarray, vec: np.ndarray) -> np.ndarray:
 def _place(vectors: DataFrame, index: Index, dim: int, homes: bool, probes: int = 0, reach: float | None = None) -> DataFrame:
     """Sends each vector to its home, and to every block of the cells it visits.
 
-    ``probes``: the best cells. ``reach``: its own cell and those above it that
-    may hold a vector so near; a pair meets in the home of one of the two.
+    ``probes``: the best cells. ``reach``: its own cell and others that may hold
+    a vector so near; a pair meets in the home of one of the two.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +407,7 @@ def _compare(placed: DataFrame, index: Index, dim: int, prepare, pick, schema: s
                 if kind[a] == _HOME:
                     waiting.append((key[a:z], grp[a:z], x[a:z]))
                     held += z - a
-                    if held > 8 * BLOCK:  # rows delivered again don't pile up
+                    if held > 2 * BLOCK:  # rows delivered again don't pile up
                         waiting = [_once(*(np.concatenate(c) for c in zip(*waiting)))]
                         held = 0
                     continue
@@ -466,9 +474,15 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, single.select(F.col("cls").alias("key"), F.lit(None).cast("long").alias("grp"), "vec")
 
 
-def class_links(single: DataFrame, dim: int, least: float, index: Index) -> DataFrame:
-    """``x, y, cosine``: pairs of classes (x < y) with a cosine of at least ``least``; exact, each once."""
-    reach = float(np.sqrt(max(2 - 2 * least, 0)))
+def class_links(single: DataFrame, dim: int, least: float, index: Index, sigmas: float | None = SIGMAS) -> DataFrame:
+    """``x, y, cosine``: pairs of classes (x < y) with a cosine of at least ``least``, each once.
+
+    Two such vectors are at most sqrt(2 - 2 least) apart. Across one border the
+    difference is that length times a cosine whose deviation is 1/sqrt(dim) if
+    directions are random; borders further than ``sigmas`` of it aren't crossed.
+    Without ``sigmas`` the whole length counts and no pair can be lost.
+    """
+    reach = float(np.sqrt(max(2 - 2 * least, 0))) * (1.0 if sigmas is None else min(1.0, sigmas / np.sqrt(dim)))
 
     def pick(qk, qg, q, own, hk, hg, h, codes, lift):
         scores = index.scan(index.tables(q.astype(np.float32)), codes)
@@ -484,29 +498,29 @@ def class_links(single: DataFrame, dim: int, least: float, index: Index) -> Data
     return _compare(placed, index, dim, lambda v, codes: index.lift(v, codes, least), pick, "x long, y long, cosine double")
 
 
-def linked_classes(vectors: DataFrame, dim: int, least: float, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
+def linked_classes(vectors: DataFrame, dim: int, least: float, index: Index | None = None, sigmas: float | None = SIGMAS) -> tuple[DataFrame, DataFrame]:
     """``cls, rep, key, grp``: the class of each vector; ``x, y, cosine``: pairs of classes at least ``least`` similar.
 
     This is the result that grows with the vectors, not with the pairs of their
-    copies. Exact: no pair of classes is lost. Written once, as both are used
-    several times.
+    copies. Written once, as both are used several times.
     """
     checkpoint_dir(vectors.sparkSession)
     vectors = vectors.checkpoint()
     index = index or fit_on(vectors, dim)
     members, single = classes(vectors)
-    return members.checkpoint(), class_links(single, dim, least, index).checkpoint()
+    return members.checkpoint(), class_links(single, dim, least, index, sigmas).checkpoint()
 
 
-def similar_pairs(vectors: DataFrame, dim: int, least: float, index: Index | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, dim: int, least: float, index: Index | None = None, sigmas: float | None = SIGMAS) -> DataFrame:
     """``a, b, cosine``: pairs of keys (a < b) with different ``grp`` and a cosine of at least ``least``.
 
     Exact copies are searched as one class and expanded only here at the end, so
     a vector that a third of all rows share is compared once. Repeated rows and
     several rows of one key give each pair once. A null group differs from all
-    others but not from another null.
+    others but not from another null. ``sigmas`` is that of ``class_links``: None
+    finds every pair for certain.
     """
-    members, between = linked_classes(vectors, dim, least, index)
+    members, between = linked_classes(vectors, dim, least, index, sigmas)
     several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     within = several.select(F.col("cls").alias("x"), F.col("cls").alias("y"), F.lit(1.0).alias("cosine"))
     links = between.unionByName(within) if least <= 1 else between

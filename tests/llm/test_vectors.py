@@ -57,7 +57,7 @@ def test_no_pair_is_lost_whatever_the_cells(spark, coarse, fine):
     assert len(index.blocks) == len(index.centres) * len(index.fine)
     for least in (0.95, 0.8):
         want = {(a, b) for a, b in zip(*np.nonzero(s >= least)) if a < b}
-        assert {(r.a, r.b) for r in v.similar_pairs(usable, DIM, least, index).collect()} == want
+        assert {(r.a, r.b) for r in v.similar_pairs(usable, DIM, least, index, None).collect()} == want
     near = v.neighbours(usable.filter(F.col("key") < 5), usable, DIM, 10, index=index, exact=True).collect()
     for q in range(5):
         order = [int(i) for i in np.argsort(-s[q], kind="stable") if i != q][:10]
