@@ -24,6 +24,7 @@ GARBLED = [
     (garble(garble("naïve", "utf_8", "cp1252"), "utf_8", "cp1252"), "naïve"),
     (garble("That’s a naïve café", "cp1252", "utf_8"), "That’s a naïve café"),
     ("That锟斤拷s all", None),
+    ("so nicht " + "größere".encode().decode("cp1252")[:4], None),
 ]
 
 
@@ -54,14 +55,40 @@ def test_a_garbled_text_that_a_third_of_the_rows_repeat_is_found(spark):
     assert {r.doc_id for r in m.garbled(df, "doc_id", "text")[0].collect()} == {1000 + i for i in range(200)}
 
 
+def language(*words):
+    out = m.Language(n_words=len(words))
+    for w in words:
+        out.add(w, 10)
+    return out.prepare()
+
+
 def test_lattice_fills_lost_bytes():
-    chars = {"’": -1.0, "é": -2.0, "—": -3.0}
-    assert m.viterbi([0xE2, 0x80, None], "utf_8", chars, -20)[1] == "’"
-    assert m.viterbi([None, 0x80, 0x94], "utf_8", chars, -20)[1] == "—"
-    assert m.viterbi([0xC3, 0x28], "utf_8", chars, -20) is None
+    known = language("isn’t", "’", "’", "é", "—", "größer", "字")
+    assert m.viterbi([0xE2, 0x80, None], "utf_8", known)[0][1] == "’"
+    assert m.viterbi([None, 0x80, 0x94], "utf_8", known)[0][1] == "—"
+    assert m.viterbi([0xC3, 0x28], "utf_8", known) == []
+    # every writer has wildcards; what nothing fits stays lost
+    assert m.viterbi(list(b"gr") + [None] + list(b"\xdfer"), "cp1252", known)[0][1] in ("größer", "gréßer")
+    assert "größer" in [t for _, t in m.viterbi(list(b"gr") + [None] + list(b"\xdfer"), "cp1252", known)]
+    assert "字" in [t for _, t in m.viterbi(["字".encode("gbk")[0], None], "gbk", known)]
+    assert m.viterbi([None], "ascii", language("a"))[0][1] == m.LOST
     assert m.to_bytes("Ã©", "cp1252") == [0xC3, 0xA9] and m.to_bytes("字", "cp1252") is None
 
 
+def test_bytes_missing_without_a_mark():
+    known = language("déjà", "isn’t", "个")
+    assert (True, "déj" + m.LOST) in [(cut, t) for _, t, cut in m._decoded(m.to_bytes("dÃ©jÃ", "cp1252"), "utf_8", known)]
+    assert (True, m.LOST + "个") in [(cut, t) for _, t, cut in m._decoded([0xA4, *"个".encode()], "utf_8", known)]
+    assert m._decoded([0x41, 0xC3, 0x41], "utf_8", known) == []
+
+
+def test_counts_speak_against_a_reading():
+    odds = lambda texts, own, believed, known: m._log_odds(texts, own, believed, -20.0, known, 0.003, 0.003 * known, 5_000)
+    assert odds(15, -18.0, False, 5_000) > 0 > odds(80, -18.0, False, 5_000)  # as often as expected, and far more often
+    assert odds(1, -18.0, False, 5_000) > 0 > odds(1, -5.0, False, 100)  # rarer is no evidence, a likely word is
+    assert odds(200, -60.0, True, 100) > 0 > odds(200, -60.0, False, 100)
+
+
 def test_very_long_text_is_read_to_its_end(spark):
     text = "x" * 300_000 + " " + "naïve " * 20_000 + garble("naïve", "utf_8", "cp1252")
     rows = [(i, "so naïve") for i in range(10)] + [(99, text)]
