@@ -64,6 +64,41 @@ def edge_filter(call_type: str | None = None, conditional_only: bool = False, gu
     return keep
 
 
+NEAR = 100_000  # nodes that are sent to every task instead of shuffling the edges
+
+
+class _Search:
+    """Breadth-first search level by level; each level is written once and its size counted.
+
+    A frontier of up to NEAR nodes is broadcast, so the edges aren't shuffled;
+    a larger one is joined by shuffle, where Spark splits hot nodes.
+    """
+
+    def __init__(self, edges: DataFrame, start: DataFrame) -> None:
+        kind = edges.schema["src"].dataType
+        self.edges, self.depth = edges, 0
+        self.frontier = start.select("node").filter("node IS NOT NULL").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")).checkpoint()
+        self.size = self.n_found = self.frontier.count()
+        self.found = self.frontier
+
+    def step(self) -> bool:
+        """Goes one level on; False if nothing new was found."""
+        self.depth += 1
+        small = self.frontier.select(F.col("node").alias("src"))
+        known = self.found.select("node")
+        step = self.edges.join(F.broadcast(small) if self.size <= NEAR else small, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        fresh = step.join(F.broadcast(known) if self.n_found <= NEAR else known, "node", "left_anti")
+        self.frontier = fresh.select("node", F.lit(self.depth).alias("depth"), "parent").checkpoint()
+        self.size = self.frontier.count()
+        if not self.size:
+            return False
+        self.n_found += self.size
+        self.found = self.found.unionByName(self.frontier)
+        if self.depth % 8 == 0:
+            self.found = self.found.checkpoint()
+        return True
+
+
 def levels(edges: DataFrame, start: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """``node, depth, parent``: breadth-first search from the column ``node`` of ``start``.
 
@@ -73,23 +108,11 @@ def levels(edges: DataFrame, start: DataFrame, max_depth: int | None = None, sto
     in which a node of ``stop`` is reached.
     """
     checkpoint_dir(edges.sparkSession)
-    edges = ends(edges).checkpoint()
-    frontier = start.select("node").filter("node IS NOT NULL").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).checkpoint()
-    found, parts = frontier, [frontier]
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        frontier = step.join(found.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent").checkpoint()
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-        found = found.unionByName(frontier)
-        if len(parts) % 8 == 0:
-            found = found.checkpoint()
-        if stop is not None and not frontier.join(stop.select("node"), "node", "left_semi").isEmpty():
+    search = _Search(ends(edges).checkpoint(), start)
+    while (max_depth is None or search.depth < max_depth) and search.step():
+        if stop is not None and not search.frontier.join(stop.select("node"), "node", "left_semi").isEmpty():
             break
-    return found
+    return search.found
 
 
 def ancestors(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -118,49 +141,73 @@ def shortest_path(edges: DataFrame, source, target, max_depth: int | None = None
     """``pos, node``: the nodes of a shortest path; no rows if there is none.
 
     Of equally short paths the one with the smallest parents, read from the end.
-    The walk back takes as many lookups as the path is long.
+    The walk back is one job, a join with one level after another.
     """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType
     node = lambda v: spark.createDataFrame([(v,)], "node long").select(F.col("node").cast(kind).alias("node"))
     seen = levels(edges, node(source), max_depth, node(target))
-    path, at = [target], seen.filter(F.col("node") == target).first()
-    if at is None:
+    end = seen.filter(F.col("node") == target)
+    length = end.agg(F.max("depth").alias("d")).first().d
+    if length is None:
         return spark.createDataFrame([], "pos int, node long")
-    while at.parent is not None:
-        path.append(at.parent)
-        at = seen.filter((F.col("node") == at.parent) & (F.col("depth") == at.depth - 1)).first()
-    return spark.createDataFrame(list(enumerate(reversed(path))), "pos int, node long")
+    out = at = end.select(F.col("depth").alias("pos"), "node", "parent")
+    for d in range(length - 1, -1, -1):
+        level = seen.filter(F.col("depth") == d).select(F.col("depth").alias("pos"), "node", F.col("parent").alias("up"))
+        at = level.join(F.broadcast(at.select(F.col("parent").alias("node"))), "node").select("pos", "node", F.col("up").alias("parent"))  # one row
+        out = out.unionByName(at)
+    return out.select("pos", F.col("node").cast("long").alias("node"))
 
 
 def bidirectional_distance(edges: DataFrame, source, target, max_depth: int = 20) -> DataFrame:
-    """``meeting, length``: the shortest way by two frontiers that grow in turn; no rows if there is none."""
+    """``meeting, length``: the shortest way by two frontiers, the smaller of which grows; no rows if there is none.
+
+    The search ends with the level in which the frontiers meet.
+    """
     spark = edges.sparkSession
+    checkpoint_dir(spark)
     node = lambda v: spark.createDataFrame([(v,)], "node long")
-    half = (max_depth + 1) // 2
-    down = levels(edges, node(source), half).select("node", F.col("depth").alias("a"))
-    up = levels(reverse(edges), node(target), max_depth - half).select("node", F.col("depth").alias("b"))
-    return down.join(up, "node").select(F.col("node").alias("meeting"), (F.col("a") + F.col("b")).alias("length")).orderBy("length", "meeting").limit(1)
+    edges = ends(edges).checkpoint()
+    down, up = _Search(edges, node(source)), _Search(reverse(edges), node(target))
+
+    def meeting() -> DataFrame:
+        a, b = down.found.select("node", F.col("depth").alias("a")), up.found.select("node", F.col("depth").alias("b"))
+        return a.join(b, "node").select(F.col("node").alias("meeting"), (F.col("a") + F.col("b")).alias("length"))
+
+    found = meeting()
+    while found.isEmpty() and down.depth + up.depth < max_depth:
+        if not (down if down.size <= up.size else up).step():
+            break
+        found = meeting()
+    return found.orderBy("length", "meeting").limit(1)
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, keep: list[str] | None = None) -> DataFrame:
-    """``root, node, depth, path`` and the kept edge columns: simple paths of up to ``depth`` (at most 5) edges.
+    """``root, node, depth, path`` and the kept edge columns: simple paths of up to ``depth`` edges.
 
     The path holds the nodes after the root, so the root itself may come back
-    once through a cycle. One row per path.
+    once through a cycle. One row per path, so the result grows with the depth as
+    the number of paths does; ``levels`` is the search without paths. Each hop is
+    written, and joined by broadcast while it is small.
     """
     keep = keep or []
-    depth = min(depth, 5)
-    edges = edges.select("src", "dst", *keep).filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    now = start.select(F.col("node").alias("root")).distinct().join(edges, F.col("root") == F.col("src"))
-    now = now.select("root", F.col("dst").alias("node"), F.lit(1).alias("depth"), F.array("dst").alias("path"), *keep)
-    out = now
-    for d in range(2, depth + 1):
-        ahead = edges.select("src", F.col("dst").alias("__next"), *[F.col(c).alias(f"__{c}") for c in keep])
-        now = now.join(ahead, (F.col("node") == F.col("src")) & ~F.expr("array_contains(path, __next)"))
-        now = now.select("root", F.col("__next").alias("node"), F.lit(d).alias("depth"), F.array_append("path", F.col("__next")).alias("path"), *[F.col(f"__{c}").alias(c) for c in keep])
-        out = out.unionByName(now)
-    return out
+    checkpoint_dir(edges.sparkSession)
+    edges = edges.select("src", "dst", *keep).filter("src IS NOT NULL AND dst IS NOT NULL")
+    now = start.select(F.col("node").alias("root"), "node", F.array().cast(f"array<{edges.schema['dst'].dataType.simpleString()}>").alias("path")).distinct().checkpoint()
+    out = None
+    for d in range(1, depth + 1):
+        size = now.count()
+        heads = now.select(F.col("root").alias("__root"), F.col("node").alias("src"), F.col("path").alias("__path"))
+        step = edges.join(F.broadcast(heads) if size <= NEAR else heads, "src").filter(~F.array_contains("__path", F.col("dst")))
+        # what is delivered again is dropped here, where it is little
+        step = step.select(F.col("__root").alias("root"), F.col("dst").alias("node"), F.array_append("__path", F.col("dst")).alias("path"), *keep).distinct()
+        now = step.select("root", "node", F.lit(d).alias("depth"), "path", *keep).checkpoint()
+        out = now if out is None else out.unionByName(now)
+        if now.isEmpty():
+            break
+        # parallel edges of other kinds lead to the same paths
+        now = now.select("root", "node", "path").distinct() if keep else now
+    return out if out is not None else now.select("root", "node", F.lit(0).alias("depth"), "path", *[F.lit(None).alias(c) for c in keep]).limit(0)
 
 
 def all_paths(edges: DataFrame, source, target, max_edges: int, weight: str | None = None) -> DataFrame:
@@ -168,22 +215,27 @@ def all_paths(edges: DataFrame, source, target, max_edges: int, weight: str | No
 
     The target is never passed through. Parallel edges give a path each if
     ``weight`` names a column, else one. With equal source and target the cycles
-    through it come out. The score is the product of the weights.
+    through it come out. The score is the product of the weights. Only nodes
+    that still reach the target in the edges that are left are walked.
     """
+    spark = edges.sparkSession
+    checkpoint_dir(spark)
     columns = ["src", "dst", *([weight] if weight else [])]
     edges = edges.select(*columns).filter("src IS NOT NULL AND dst IS NOT NULL")
-    if not weight:
-        edges = edges.distinct()
-    score = F.col(weight) if weight else F.lit(1.0)
-    now = edges.filter(F.col("src") == source).select(F.array("src", "dst").alias("path"), F.col("dst").alias("node"), score.cast("double").alias("score"))
+    edges = (edges if weight else edges.distinct()).checkpoint()
+    kind = edges.schema["dst"].dataType
+    away = levels(reverse(edges), spark.createDataFrame([(target,)], "node long").select(F.col("node").cast(kind).alias("node")), max_edges - 1)
+    n_away = away.count()
+    away = away.select(F.col("node").alias("dst"), F.col("depth").alias("__left"))
+    ahead = edges.join(F.broadcast(away) if n_away <= NEAR else away, "dst").select("src", F.col("dst").alias("__next"), "__left", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__score")).checkpoint()
+    now = ahead.filter((F.col("src") == source) & (F.col("__left") <= max_edges - 1)).select(F.array("src", "__next").alias("path"), F.col("__next").alias("node"), F.col("__score").alias("score"))
     done = []
     for d in range(1, max_edges + 1):
         done.append(now.filter(F.col("node") == target).select("path", F.lit(d).alias("length"), "score"))
         if d == max_edges:
             break
-        ahead = edges.select("src", F.col("dst").alias("__next"), score.cast("double").alias("__score"))
         fresh = ~F.expr("array_contains(path, __next)") | (F.col("__next") == F.lit(target))
-        now = now.filter(F.col("node") != target).join(ahead, (F.col("node") == F.col("src")) & fresh)
+        now = now.filter(F.col("node") != target).join(ahead.filter(F.col("__left") <= max_edges - d - 1), (F.col("node") == F.col("src")) & fresh)
         now = now.select(F.array_append("path", F.col("__next")).alias("path"), F.col("__next").alias("node"), (F.col("score") * F.col("__score")).alias("score"))
     out = done[0]
     for part in done[1:]:
@@ -364,6 +416,55 @@ def expand_path(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.select("path_id", F.posexplode("edge_ids").alias("pos", "edge_id")).join(edges.withColumnRenamed("id", "edge_id"), "edge_id")
 
 
+def refresh_paths(cache: DataFrame, fresh: DataFrame, now: str, keep_days: int) -> DataFrame:
+    """``source, target, edge_ids, computed_at, access_count``: a path cache after new paths were found.
+
+    Of each (source, target) the path computed last stays, with the accesses of
+    all of them. Paths older than ``keep_days`` that nobody asked for are dropped.
+    Null ends are no paths; repeated rows count once.
+    """
+    rows = cache.unionByName(fresh).filter("source IS NOT NULL AND target IS NOT NULL").distinct()
+    order = F.struct("computed_at", F.size("edge_ids"), "edge_ids")
+    merged = rows.groupBy("source", "target").agg(F.max_by(F.struct("edge_ids", "computed_at"), order).alias("p"), F.sum("access_count").alias("access_count"))
+    out = merged.select("source", "target", "p.edge_ids", "p.computed_at", "access_count")
+    return out.filter((F.col("access_count") > 0) | (F.col("computed_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(keep_days))))
+
+
+def cycle_edges(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """``component, src, dst``: the distinct edges that lie on a cycle, self-loops included: both ends in one component."""
+    a = comps.select(F.col("node").alias("src"), F.col("component"))
+    b = comps.select(F.col("node").alias("dst"), F.col("component").alias("__b"))
+    inner = ends(edges).join(a, "src").join(b, "dst").filter(F.col("component") == F.col("__b"))
+    return inner.select("component", "src", "dst")
+
+
+def witness_cycles(edges: DataFrame, comps: DataFrame, most: int = 50) -> DataFrame:
+    """``component, pos, node``: for each component with a cycle a shortest cycle through its smallest node.
+
+    All components are walked at once, level by level within their own edges;
+    ``most`` bounds the length, components whose cycle is longer give no rows.
+    """
+    spark = edges.sparkSession
+    checkpoint_dir(spark)
+    inner = cycle_edges(edges, comps).checkpoint()
+    first = inner.groupBy("component").agg(F.min("src").alias("root"))
+    now = first.select("component", "root", F.col("root").alias("node"), F.array("root").alias("path"))
+    seen, found = now.select("component", "node"), []
+    for _ in range(most):
+        step = now.join(inner, (now["component"] == inner["component"]) & (now["node"] == inner["src"])).select(now["component"], "root", F.col("dst").alias("node"), "path")
+        best = step.groupBy("component", "root", "node").agg(F.min("path").alias("path")).checkpoint()
+        found.append(best.filter("node = root").select("component", "path"))
+        now = best.filter("node <> root").join(found[-1].select("component"), "component", "left_anti").join(seen, ["component", "node"], "left_anti")
+        now = now.select("component", "root", "node", F.array_append("path", F.col("node")).alias("path")).checkpoint()
+        seen = seen.unionByName(now.select("component", "node"))
+        if now.isEmpty():
+            break
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.select("component", F.posexplode("path").alias("pos", "node"))
+
+
 def path_is_valid(hops: Column) -> Column:
     """Whether an array of (src, dst) structs is contiguous; empty and null aren't."""
     pairs = F.arrays_zip(F.slice(hops, 1, F.size(hops) - 1).alias("a"), F.slice(hops, 2, F.size(hops) - 1).alias("b"))

@@ -53,6 +53,38 @@ def test_cycles(spark):
     assert g.condensation(ring, g.components(ring)).count() == 1
 
 
+def test_no_depth_is_cut(spark):
+    line = edges(spark, [(i, i + 1) for i in range(1, 12)])
+    got = g.neighbourhood(line, nodes(spark, 1), 8).collect()
+    assert sorted(r.depth for r in got) == list(range(1, 9)) and max(len(r.path) for r in got) == 8
+    assert [r.node for r in g.shortest_path(line, 1, 12).orderBy("pos").collect()] == list(range(1, 13))
+    assert g.bidirectional_distance(line, 1, 12).first().length == 11 and g.bidirectional_distance(line, 12, 1).count() == 0
+    assert g.bidirectional_distance(line, 3, 3).first().length == 0
+    assert g.all_paths(line, 1, 12, 10).count() == 0 and g.all_paths(line, 1, 12, 11).count() == 1
+    assert g.neighbourhood(line, nodes(spark, 99), 3).count() == 0 and g.neighbourhood(line, nodes(spark, 1), 0).count() == 0
+
+
+def test_witness_cycles_and_their_edges(spark):
+    e = edges(spark, [(1, 2), (2, 3), (3, 1), (1, 4), (4, 1), (5, 5), (6, 7), (8, 9), (9, 10), (10, 8), (10, 11)])
+    comps = g.components(e)
+    got = {}
+    for r in g.witness_cycles(e, comps).collect():
+        got.setdefault(r.component, {})[r.pos] = r.node
+    assert {c: [p[i] for i in sorted(p)] for c, p in got.items()} == {1: [1, 4], 5: [5], 8: [8, 9, 10]}
+    assert {(r.src, r.dst) for r in g.cycle_edges(e, comps).collect()} == {(1, 2), (2, 3), (3, 1), (1, 4), (4, 1), (5, 5), (8, 9), (9, 10), (10, 8)}
+
+
+def test_path_cache(spark):
+    kind = "source long, target long, edge_ids array<long>, computed_at timestamp, access_count long"
+    from datetime import datetime
+
+    t = lambda d: datetime(2025, 6, d)
+    old = spark.createDataFrame([(1, 2, [1], t(1), 3), (1, 3, [2], t(1), 0), (1, 4, [3], t(1), 0), (None, 1, [], t(1), 9)], kind)
+    new = spark.createDataFrame([(1, 2, [4, 5], t(20), 0), (1, 4, [6], t(19), 0), (1, 4, [6], t(19), 0)], kind)
+    got = {(r.source, r.target): (r.edge_ids, r.access_count) for r in g.refresh_paths(old, new, "2025-06-21 00:00:00", 7).collect()}
+    assert got == {(1, 2): ([4, 5], 3), (1, 4): ([6], 0)}
+
+
 def test_empty(spark):
     e = edges(spark, [])
     assert g.components(e).count() == 0 and g.topological_levels(e).count() == 0 and g.degrees(e).count() == 0
