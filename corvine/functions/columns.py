@@ -92,3 +92,14 @@ def nearest_rank(values: Column | str, q: float) -> Column:
 
 def fold_glob(patterns: list[str]) -> list[str]:
     return [glob_to_like(p) for p in patterns]
+
+
+def json_array_holds(text: Column | str, *values: str) -> Column:
+    """Whether a JSON array of texts holds all the values; null and what is no array don't."""
+    items = F.from_json(text, "array<string>")
+    return F.coalesce(F.size(F.array_except(F.array(*map(F.lit, values)), items)) == 0, F.lit(False))
+
+
+def as_json(*columns: Column | str) -> Column:
+    """The columns as one JSON object; structs and arrays nest, nulls are left out."""
+    return F.to_json(F.struct(*columns))

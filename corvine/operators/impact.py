@@ -99,3 +99,20 @@ def interface_breaks(expected: DataFrame, symbols: DataFrame) -> DataFrame:
     joined = want.join(have, "name", "left")
     problem = F.when(F.col("there").isNull(), "missing").when(~F.col("want.returns").eqNullSafe(F.col("have.returns")), "returns").when(~F.col("want.parameters").eqNullSafe(F.col("have.parameters")), "parameters")
     return joined.select("name", problem.alias("problem")).filter("problem IS NOT NULL").distinct()
+
+
+def header_impact(changed: DataFrame, includes: DataFrame) -> DataFrame:
+    """``symbol, path, includer``: the files that include a header (``symbol, path``) whose struct or macro changed.
+
+    ``includes`` has ``file, header``; a header is meant by the end of its path,
+    at a slash. Changes outside of headers reach nobody here.
+    """
+    headers = changed.filter(F.col("path").endswith(".h")).select("symbol", "path", F.element_at(F.split("path", "/"), -1).alias("base")).distinct()
+    named = includes.select(F.col("file").alias("includer"), "header", F.element_at(F.split("header", "/"), -1).alias("base"))
+    hit = headers.join(named, "base").filter((F.col("path") == F.col("header")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("header"))))
+    return hit.select("symbol", "path", "includer").distinct()
+
+
+def critical_path(edges: DataFrame, changed, target, max_depth: int | None = None) -> DataFrame:
+    """``pos, node``: a shortest chain of calls by which the target depends on a changed node, the target first."""
+    return graph.shortest_path(edges, target, changed, max_depth)

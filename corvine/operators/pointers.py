@@ -1,15 +1,18 @@
 """Function pointers: where functions are assigned, and what the pointers are for.
 
-Assignments are found with patterns over whole files, inside Spark. Null texts
+Assignments are found with patterns over whole files, each read once. Null texts
 give no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.functions.columns import col
+from corvine.operators.extraction import per_text
 
 # Words that mark a registration, and the purpose by the first that fits.
 REGISTRATION = ["operations", "ops", "callbacks", "handlers", "hooks", "vtable", "dispatch"]
@@ -18,18 +21,20 @@ PURPOSE = [
     ("driver", "driver_ops"), ("interrupt", "irq_handler"), ("timer", "timer_handler"), ("workqueue", "work_handler"),
 ]
 
-_FIELD = r"\.(\w+)\s*=\s*&?([A-Za-z_]\w*)\s*[,}\n]"
-_MEMBER = r"(?:->|\.)(\w+)\s*=\s*&?([A-Za-z_]\w*)\s*;"
-_REGISTER = r"\b(\w*(?:register|subscribe|add_handler|set_callback)\w*)\s*\([^;{}]*?\b&?([A-Za-z_]\w*(?:_cb|_callback|_handler|_fn|_func|_ops))\b"
+_FIELD = re.compile(r"\.(\w+)\s*=\s*&?([A-Za-z_]\w*)\s*[,}\n]")
+_MEMBER = re.compile(r"(?:->|\.)(\w+)\s*=\s*&?([A-Za-z_]\w*)\s*;")
+_REGISTER = re.compile(r"\b(\w*(?:register|subscribe|add_handler|set_callback)\w*)\s*\([^;{}]*?\b&?([A-Za-z_]\w*(?:_cb|_callback|_handler|_fn|_func|_ops))\b")
+
+
+def find_assignments(text: str) -> list[tuple[str, str, str]]:
+    """(how, pointer, function), in one pass."""
+    rules = (("initialiser", _FIELD), ("assignment", _MEMBER), ("registration", _REGISTER))
+    return [(how, m.group(1), m.group(2)) for how, pattern in rules for m in pattern.finditer(text)]
 
 
 def assignments(df: DataFrame, key: str, text: str) -> DataFrame:
     """``<key>, how, pointer, function``: initialised fields, assigned members, registered callbacks."""
-    parts = []
-    for how, pattern in (("initialiser", _FIELD), ("assignment", _MEMBER), ("registration", _REGISTER)):
-        rows = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("m"))
-        parts.append(rows.select(key, F.lit(how).alias("how"), F.regexp_extract("m", pattern, 1).alias("pointer"), F.regexp_extract("m", pattern, 2).alias("function")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return per_text(df, key, text, find_assignments, "how string, pointer string, function string")
 
 
 def known_functions(found: DataFrame, symbols: DataFrame) -> DataFrame:

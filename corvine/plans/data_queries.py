@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.operators import extraction, graph, impact, pointers, tables
+from corvine.functions import columns
+from corvine.operators import chunks, extraction, graph, impact, pointers, tables, work
 from corvine.plans import views as v
 from corvine.session import checkpoint_dir
 from corvine.sources import config_files, csource, graph_files
@@ -42,17 +43,46 @@ def x_call_statistics(spark: SparkSession, base: str) -> DataFrame:
     return x_calls(spark, base).groupBy("call_type", F.col("config_guard").isNotNull().alias("guarded")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("callee").alias("n_callees"))
 
 
+def _kernel_texts(spark: SparkSession, base: str) -> DataFrame:
+    """A source text per file, written from its symbols: a statement a line, of six kinds, behind the definition of a magic number."""
+    s = v.symbols(spark, base).filter("name IS NOT NULL AND file_id IS NOT NULL")
+    n = F.col("name")
+    line = (
+        F.when(F.col("id") % 6 == 0, F.concat(F.lit("EXPORT_SYMBOL_GPL("), n, F.lit(");")))
+        .when(F.col("id") % 6 == 1, F.concat(F.lit("SYSCALL_DEFINE2("), n, F.lit(", int, fd, long, off) {")))
+        .when(F.col("id") % 6 == 2, F.concat(F.lit("#define "), n, F.lit(" _IOW(DEMO_MAGIC, 5, struct arg)")))
+        .when(F.col("id") % 6 == 3, F.concat(F.lit("static const struct file_operations "), n, F.lit("_fops = { .open = "), n, F.lit("_open, .release = &"), n, F.lit(" };")))
+        .when(F.col("id") % 6 == 4, F.concat(F.lit("err = request_irq(irq, "), n, F.lit(", IRQF_SHARED, \"demo\", dev);")))
+        .otherwise(F.concat(F.lit("dev->handler = "), n, F.lit(";")))
+    )
+    lines = s.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("t")))).alias("l"))  # the symbols of one file
+    return lines.select(F.col("file_id").alias("id"), F.concat(F.lit("#define DEMO_MAGIC 'k'\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("content"))
+
+
 def x_patterns(spark: SparkSession, base: str) -> DataFrame:
-    return extraction.patterns(_c_files(spark, base), "id", "content")
+    return extraction.patterns(_kernel_texts(spark, base), "id", "content")
+
+
+def x_patterns_in_content(spark: SparkSession, base: str) -> DataFrame:
+    """The same over the C files of the content, which hold none of the forms."""
+    return extraction.patterns(_c_files(spark, base), "id", "content").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def x_entry_points(spark: SparkSession, base: str) -> DataFrame:
-    return extraction.entry_points(_c_files(spark, base), "id", "content").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return extraction.entry_points(_kernel_texts(spark, base), "id", "content").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("n_names"), F.sum("line").alias("lines"))
+
+
+def x_ioctl_commands(spark: SparkSession, base: str) -> DataFrame:
+    return extraction.ioctl_commands(_kernel_texts(spark, base), "id", "content")
 
 
 def x_operation_tables(spark: SparkSession, base: str) -> DataFrame:
-    found = extraction.operation_tables(_c_files(spark, base), "id", "content")
-    return found.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return extraction.operation_tables(_kernel_texts(spark, base), "id", "content").drop("struct_type")
+
+
+def x_assignments(spark: SparkSession, base: str) -> DataFrame:
+    found = pointers.assignments(_kernel_texts(spark, base), "id", "content")
+    return found.groupBy("how", "pointer").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("function").alias("n_functions"))
 
 
 def x_pointers(spark: SparkSession, base: str) -> DataFrame:
@@ -92,12 +122,16 @@ def x_config_options(spark: SparkSession, base: str) -> DataFrame:
 
 
 def x_attributes(spark: SparkSession, base: str) -> DataFrame:
-    marks = v.symbols(spark, base).select("id", F.explode(csource.attributes("signature")).alias("attribute"))
+    """Signatures hold none of the attributes, the C files do."""
+    marks = _c_files(spark, base).select("id", F.explode(csource.attributes("content")).alias("attribute"))
     return marks.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"))
 
 
 def x_syscall_names(spark: SparkSession, base: str) -> DataFrame:
-    return extraction.syscall_names(v.symbols(spark, base)).select("id", "syscall")
+    """Symbols under the prefixes that implementations of system calls have; one in five is left as it is."""
+    s = v.symbols(spark, base)
+    prefix = F.element_at(F.array(*map(F.lit, ("__se_sys_", "__do_sys_", "ksys_", "sys_", ""))), (F.pmod("id", F.lit(5)) + 1).cast("int"))
+    return extraction.syscall_names(s.withColumn("name", F.concat(prefix, "name"))).select("id", "syscall")
 
 
 def _orders(spark: SparkSession, base: str) -> DataFrame:
@@ -128,7 +162,9 @@ def u_cascade(spark: SparkSession, base: str) -> DataFrame:
 
 
 def u_resolve_names(spark: SparkSession, base: str) -> DataFrame:
-    calls = v.edges(spark, base).select("id", F.col("function_context").alias("callee"))
+    """Calls recorded by name find the id of the name again; calls of unknown symbols are dropped."""
+    named = v.symbols(spark, base).select(F.col("id").alias("callee_id"), F.col("name").alias("callee"))
+    calls = v.edges(spark, base).select("id", "callee_id").join(named, "callee_id").select("id", F.when(F.col("id") % 7 == 0, F.lit("nobody")).otherwise(F.col("callee")).alias("callee"))
     return tables.resolve_names(calls, v.symbols(spark, base)).select("id", "callee_id")
 
 
@@ -200,9 +236,91 @@ def e_manifest(spark: SparkSession, base: str) -> DataFrame:
 
 
 def e_verify(spark: SparkSession, base: str) -> DataFrame:
-    """Declared hashes of the content against the content: a checksum that differs is a finding."""
-    doc = v.content(spark, base).filter("content IS NOT NULL").select(F.col("id").alias("chunk_id"), F.octet_length("content").cast("long").alias("size_bytes"), "content_hash", "content")
-    return graph_files.verify(doc.select("chunk_id", "size_bytes", F.col("content_hash").alias("checksum")), doc.select("chunk_id", "size_bytes", F.sha2("content", 256).alias("checksum")))
+    """The first version of each item as declared against the current one; every tenth item isn't there."""
+    rows = table(spark, base, "indexed_content").filter("content IS NOT NULL").select(F.col("id").alias("chunk_id"), "updated_at", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("checksum"))
+    order = F.struct("updated_at", "checksum")
+    side = lambda best: rows.groupBy("chunk_id").agg(best(F.struct("size_bytes", "checksum"), order).alias("x")).select("chunk_id", "x.size_bytes", "x.checksum")
+    return graph_files.verify(side(F.min_by), side(F.max_by).filter("chunk_id % 10 <> 0"))
+
+
+def e_compressed(spark: SparkSession, base: str) -> DataFrame:
+    """Contents compressed, and restored from the payload."""
+    docs = v.content(spark, base).filter("content IS NOT NULL").select("id", "content")
+    packed = chunks.compressed(docs, "id", "content")
+    back = chunks.restored(packed, "id", "payload").select("id", F.sha2("text", 256).alias("checksum"))
+    return packed.select("id", "size_bytes", (F.col("ratio") < 1.5).alias("small")).join(back, "id")
+
+
+def e_estimate(spark: SparkSession, base: str) -> DataFrame:
+    return chunks.estimate(_nodes(spark, base), v.graph(spark, base))
+
+
+def _sized(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    g = v.graph(spark, base)
+    return g, chunks.by_size(v.symbols(spark, base).select(F.col("id").alias("node")), 500)
+
+
+def e_size_chunks(spark: SparkSession, base: str) -> DataFrame:
+    return _sized(spark, base)[1]
+
+
+def e_reassembled(spark: SparkSession, base: str) -> DataFrame:
+    """Chunks with their edges put together again."""
+    g, parts = _sized(spark, base)
+    checkpoint_dir(spark)
+    built, boundary = chunks.build(parts.checkpoint(), g, v.symbols(spark, base).select(F.col("id").alias("node"), "name", "kind"))
+    built, boundary = built.checkpoint(), boundary.checkpoint()
+    nodes, edges = chunks.reassemble(built, boundary)
+    names = nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.min(F.get_json_object("attributes", "$.name")).alias("first_name"))
+    one = lambda df, c: df.agg(F.count(F.lit(1)).alias(c)).scalar()
+    return names.withColumns({"n_edges": one(edges, "n"), "n_boundary": one(boundary, "n"), "n_chunks": one(built, "n")})
+
+
+def e_chunk_statistics(spark: SparkSession, base: str) -> DataFrame:
+    """Statistics per configuration of the files as chunks."""
+    size = v.symbols(spark, base).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(F.octet_length("name")).alias("size_bytes"))
+    files = v.files(spark, base).select(F.col("id").alias("file_id"), "config")
+    return chunks.export_statistics(size.join(files, "file_id").withColumn("n_edges", F.col("n_nodes") * 2), "config")
+
+
+def e_identifiers(spark: SparkSession, base: str) -> DataFrame:
+    return v.files(spark, base).select("id", chunks.stable_uuid("path", "config").alias("uuid")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("uuid").alias("n_distinct"), F.bool_and(F.col("uuid").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-3[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12}$")).alias("well_formed"))
+
+
+def e_nested_json(spark: SparkSession, base: str) -> DataFrame:
+    """A call as one JSON object with its two ends."""
+    sym = v.symbols(spark, base)
+    end = lambda side: sym.select(F.col("id").alias(f"{side}_id"), F.struct("name", "kind").alias(side))
+    calls = v.edges(spark, base).select("id", "caller_id", "callee_id", "line_number").join(end("caller"), "caller_id").join(end("callee"), "callee_id")
+    return calls.select("id", columns.as_json("line_number", "caller", "callee").alias("call"))
+
+
+def u_reindex(spark: SparkSession, base: str) -> DataFrame:
+    """Every C source asked for again: states and the vectors that are left."""
+    docs = v.content(spark, base)
+    done, left = work.reindex(docs, v.chunks(spark, base), F.lower("content_type") == "c_source", NOW)
+    per = left.groupBy(F.col("content_id").alias("id")).agg(F.count(F.lit(1)).alias("n_vectors"))
+    rows = done.join(per, "id", "left")
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("chunk_count").alias("n_chunks"), F.sum(F.coalesce("n_vectors", F.lit(0))).alias("n_vectors"))
+
+
+def u_work(spark: SparkSession, base: str) -> DataFrame:
+    """Items listed, a hundred claimed, every third fails, stuck ones are released."""
+    docs = v.content(spark, base).select(F.col("id").cast("string").alias("chunk_id"))
+    items = work.enlist(spark.createDataFrame([], "chunk_id string, status string, attempts int, changed_at timestamp"), docs)
+    taken = work.claim(items, 100, NOW)
+    ok = docs.filter("CAST(chunk_id AS BIGINT) % 2 = 0").select("chunk_id", (F.col("chunk_id").cast("long") % 3 > 0).alias("ok"))
+    settled = work.settle(taken, ok, NOW, 1)
+    return work.release(settled, "2001-08-01 01:00:00", 30).groupBy("status", "attempts").agg(F.count(F.lit(1)).alias("n"))
+
+
+def u_cache(spark: SparkSession, base: str) -> DataFrame:
+    """The query log as a cache of answers, asked again at one moment."""
+    log = v.query_log(spark, base)
+    row = log.select(work.query_key(F.concat_ws("  ", "query_type", (F.col("event_id") % 50).cast("string"))).alias("key"), (F.col("event_id") % 3).cast("string").alias("version"), F.col("event_id").cast("string").alias("answer"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"), F.lit(0).cast("long").alias("hits"))
+    cache = work.with_answers(row.filter("CAST(answer AS BIGINT) % 2 = 0"), row.filter("CAST(answer AS BIGINT) % 2 = 1"))
+    asked = row.select(F.col("answer").alias("query_id"), F.lower("key").alias("key"), F.when(F.col("version") > "0", F.col("version")).alias("version"))
+    return work.cached(cache, asked, "2024-01-15 00:00:00")
 
 
 def e_component_chunks(spark: SparkSession, base: str) -> DataFrame:
@@ -292,13 +410,28 @@ _EXPECTED = """ex AS (SELECT CASE WHEN id % 5 = 0 THEN name || '_x' ELSE name EN
   CASE WHEN id % 3 = 0 THEN regexp_replace(signature, '\\(', '( ', 'g') WHEN id % 3 = 1 THEN 'static ' || signature ELSE signature END AS signature FROM sym)"""
 _NORM = "regexp_replace(regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '\\s*([(),*])\\s*', '\\1', 'g'), ';$', '')"
 
+# Line 1 defines the magic number; the symbols follow in the order of their ids.
+_KERNEL = "k AS (SELECT id, file_id, name, (1 + row_number() OVER (PARTITION BY file_id ORDER BY id))::INTEGER AS line FROM sym WHERE name IS NOT NULL AND file_id IS NOT NULL)"
+
 SQL = {
     "x_includes": v.with_(v.DOC, _CFILE) + """
 , h AS (SELECT id, unnest(regexp_extract_all(content, '(?m)^[ \\t]*#[ \\t]*include[ \\t]*[<"]([^>"\\n]+)[>"]', 1)) AS header FROM cf)
 SELECT header, count(*) AS n, count(DISTINCT id) AS n_files FROM h GROUP BY 1""",
-    "x_operation_tables": v.with_(v.DOC, _CFILE) + """
-, t AS (SELECT unnest(regexp_extract_all(content, 'struct\\s+\\w+(?:_operations|_ops)\\s+\\w+\\s*=\\s*\\{([^}]*)\\}', 1)) AS body FROM cf)
-SELECT unnest(regexp_extract_all(body, '\\.(\\w+)\\s*=\\s*&?\\w+', 1)) AS field, count(*) AS n FROM t GROUP BY 1""",
+    "x_patterns": v.with_(v.SYM, _KERNEL) + """
+SELECT file_id AS id, CASE id % 6 WHEN 0 THEN 'export' WHEN 1 THEN 'syscall' WHEN 2 THEN 'ioctl_command' ELSE 'interrupt' END AS kind, name,
+  CASE id % 6 WHEN 0 THEN '_GPL' WHEN 1 THEN '2' WHEN 2 THEN '_IOW' ELSE 'request_irq' END AS detail, line FROM k WHERE id % 6 IN (0, 1, 2, 4)
+UNION ALL SELECT file_id, 'interrupt_flag', 'IRQF_SHARED', NULL, line FROM k WHERE id % 6 = 4""",
+    "x_entry_points": v.with_(v.SYM, _KERNEL) + """
+, e AS (SELECT 'syscall' AS kind, name, line FROM k WHERE id % 6 = 1 UNION ALL SELECT 'interrupt', name, line FROM k WHERE id % 6 = 4
+  UNION ALL SELECT 'file_operation', name || '_open', line FROM k WHERE id % 6 = 3 UNION ALL SELECT 'file_operation', name, line FROM k WHERE id % 6 = 3)
+SELECT kind, count(*) AS n, count(DISTINCT name) AS n_names, sum(line)::BIGINT AS lines FROM e GROUP BY 1""",
+    "x_ioctl_commands": v.with_(v.SYM, _KERNEL) + "SELECT file_id AS id, name, 'write' AS direction, 'k' AS magic, '5' AS number, 'struct arg' AS argument, line FROM k WHERE id % 6 = 2",
+    "x_operation_tables": v.with_(v.SYM, _KERNEL) + """
+SELECT file_id AS id, name || '_fops' AS table_name, 'open' AS field, name || '_open' AS "function", line FROM k WHERE id % 6 = 3
+UNION ALL SELECT file_id, name || '_fops', 'release', name, line FROM k WHERE id % 6 = 3""",
+    "x_assignments": v.with_(v.SYM, _KERNEL) + """
+SELECT 'assignment' AS how, 'handler' AS pointer, count(*) AS n, count(DISTINCT name) AS n_functions FROM k WHERE id % 6 = 5
+UNION ALL SELECT 'initialiser', unnest(['open', 'release']), count(*), count(DISTINCT name) FROM k WHERE id % 6 = 3""",
     "x_pointer_purpose": v.with_(v.EDGE) + "SELECT CASE "
     + " ".join(f"WHEN contains(lower(function_context), '{w}') OR coalesce(contains(lower(file_path), '{w}'), false) THEN '{n}'" for w, n in pointers.PURPOSE)
     + " ELSE 'generic_callback' END AS purpose, "
@@ -313,13 +446,25 @@ SELECT option, count(*) AS n, count(DISTINCT object) AS n_objects FROM r WHERE o
 WITH o AS (SELECT DISTINCT regexp_replace(config_guard, '^!', '') AS name FROM call_edges WHERE config_guard IS NOT NULL)
 SELECT name, CASE length(name) % 5 WHEN 0 THEN 'tristate' WHEN 1 THEN 'module' WHEN 2 THEN 'not_set' WHEN 3 THEN 'string' ELSE 'hex' END AS type,
   CASE length(name) % 5 WHEN 0 THEN 'y' WHEN 1 THEN 'm' WHEN 2 THEN NULL WHEN 3 THEN 'text' ELSE '0x1f' END AS value FROM o WHERE regexp_matches(name, '^CONFIG_\\w+$')""",
-    "x_attributes": v.with_(v.SYM) + f"SELECT a AS attribute, count(*) AS n FROM sym JOIN (SELECT unnest({csource.ATTRIBUTES}) AS a) ON contains(signature, a) GROUP BY 1",
-    "x_syscall_names": v.with_(v.SYM) + "SELECT id, regexp_extract(name, '^(?:__se_sys_|__do_sys_|ksys_|sys_)(\\w+)$', 1) AS syscall FROM sym WHERE regexp_matches(name, '^(?:__se_sys_|__do_sys_|ksys_|sys_)(\\w+)$')",
+    "x_attributes": v.with_(v.DOC, _CFILE) + f"SELECT a AS attribute, count(*) AS n FROM cf JOIN (SELECT unnest({csource.ATTRIBUTES}) AS a) ON contains(content, a) GROUP BY 1",
+    "x_syscall_names": v.with_(v.SYM) + "SELECT id, name AS syscall FROM sym WHERE id % 5 < 4",
     "u_upsert": "SELECT source_path, epoch_us(max(updated_at)) AS updated_us FROM indexed_content GROUP BY 1",
     "u_insert_missing": "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 200000",
     "u_replace_groups": "SELECT o_custkey, CASE WHEN count(CASE WHEN o_totalprice > 400000 THEN 1 END) > 0 THEN count(CASE WHEN o_totalprice > 400000 THEN 1 END) ELSE count(*) END AS n FROM orders GROUP BY 1",
     "u_cascade": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
-    "u_resolve_names": v.with_(v.EDGE, v.SYM) + ", n AS (SELECT name, min(id) AS callee_id FROM sym GROUP BY 1) SELECT edge.id, n.callee_id FROM edge JOIN n ON n.name = function_context",
+    "u_resolve_names": v.with_(v.EDGE, v.SYM) + ", n AS (SELECT name, min(id) AS i FROM sym GROUP BY 1) SELECT edge.id, n.i AS callee_id FROM edge JOIN sym ON sym.id = edge.callee_id JOIN n ON n.name = sym.name WHERE edge.id % 7 <> 0",
+    "u_reindex": v.with_(v.DOC, v.CHUNK) + """
+, d AS (SELECT id, coalesce(lower(content_type) = 'c_source', false) AND coalesce(status, 'PENDING') <> 'PROCESSING' AS hit, status, chunk_count FROM doc),
+c AS (SELECT content_id AS id, count(*) AS n FROM chunk WHERE content_id NOT IN (SELECT id FROM d WHERE hit) GROUP BY 1)
+SELECT CASE WHEN hit THEN 'PENDING' ELSE status END AS status, count(*) AS n, sum(CASE WHEN hit THEN 0 ELSE chunk_count END)::BIGINT AS n_chunks, sum(coalesce(c.n, 0))::BIGINT AS n_vectors FROM d LEFT JOIN c USING (id) GROUP BY 1""",
+    "u_work": v.with_(v.DOC) + """
+, i AS (SELECT id::VARCHAR AS c, id, row_number() OVER (ORDER BY id::VARCHAR) <= 100 AS taken FROM doc),
+r AS (SELECT CASE WHEN NOT taken THEN 'PENDING' WHEN id % 2 = 0 AND id % 3 > 0 THEN 'COMPLETED' WHEN id % 2 = 0 THEN 'FAILED' ELSE 'PENDING' END AS status, CASE WHEN taken THEN 1 ELSE 0 END AS attempts FROM i)
+SELECT status, attempts, count(*) AS n FROM r GROUP BY 1, 2""",
+    "u_cache": v.with_(v.LOG) + """
+, r AS (SELECT sha256(lower(query_type || ' ' || (event_id % 50))) AS key, event_id % 3 AS version, event_id, ts FROM log),
+c AS (SELECT key, version, arg_max(event_id, (ts, event_id::VARCHAR)) AS answer, max(ts) AS t FROM r GROUP BY 1, 2), l AS (SELECT * FROM c WHERE t + INTERVAL 24 HOURS > TIMESTAMP '2024-01-15')
+SELECT r.event_id::VARCHAR AS query_id, arg_max(l.answer::VARCHAR, (l.t, l.answer::VARCHAR)) AS answer FROM r JOIN l ON l.key = r.key AND (r.version = 0 OR l.version = r.version) GROUP BY 1""",
     "u_retention": "SELECT step, count(CASE WHEN o_orderdate < TIMESTAMP '2001-08-01' - to_days(d) THEN 1 END) AS n FROM orders, (VALUES ('anonymise', 7), ('results', 90), ('vectors', 365)) s(step, d) GROUP BY 1",
     "u_anonymise": "SELECT count(*) AS n, count(CASE WHEN o_orderdate < TIMESTAMP '2001-08-01' - to_days(365) THEN NULL ELSE o_custkey END) AS n_known FROM orders",
     "u_cleanup": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE NOT o_orderdate < TIMESTAMP '2001-08-01' - to_days(CASE WHEN o_orderstatus = 'F' THEN 300 ELSE 900 END) OR o_totalprice > 450000 GROUP BY 1",
@@ -338,7 +483,23 @@ UNION ALL SELECT DISTINCT 1, '<edge source="n' || source || '" target="n' || tar
     "e_manifest": v.with_(v.DOC) + """
 , f AS (SELECT split_part(source_path, '/', 4) AS top, id, content FROM doc WHERE content IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY id) AS sequence FROM f)
 SELECT printf('%s_%03d', replace(top, '/', '_'), sequence) AS chunk_id, sequence, strlen(content) AS size_bytes, sha256(content) AS checksum FROM n""",
-    "e_verify": v.with_(v.DOC) + "SELECT id AS chunk_id, 'checksum' AS problem FROM doc WHERE content IS NOT NULL AND lower(content_hash) <> sha256(content)",
+    "e_verify": """
+WITH c AS (SELECT id, updated_at, strlen(content) AS n, sha256(content) AS h FROM indexed_content WHERE content IS NOT NULL),
+f AS (SELECT id, arg_min((n, h), (updated_at, h)) AS a, arg_max((n, h), (updated_at, h)) AS b FROM c GROUP BY 1)
+SELECT id AS chunk_id, CASE WHEN id % 10 = 0 THEN 'missing' WHEN a[1] <> b[1] THEN 'size' ELSE 'checksum' END AS problem FROM f WHERE id % 10 = 0 OR a <> b""",
+    "e_compressed": v.with_(v.DOC) + "SELECT id, strlen(content) AS size_bytes, CASE WHEN strlen(content) > 0 THEN true END AS small, sha256(content) AS checksum FROM doc WHERE content IS NOT NULL",
+    "e_estimate": v.with_(v.SYM, v.GRAPH) + ", c AS (SELECT (SELECT count(*) FROM sym) AS n, (SELECT count(*) FROM g) AS m) SELECT n AS n_nodes, m AS n_edges, greatest(ceil(n / 1000), ceil(m / 5000), 1)::BIGINT AS n_chunks FROM c",
+    "e_size_chunks": v.with_(v.SYM) + "SELECT id AS node, (row_number() OVER (ORDER BY id) - 1) // 500 AS part FROM sym",
+    "e_reassembled": v.with_(v.SYM, v.GRAPH, "p AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 500 AS part FROM sym)", "b AS (SELECT a.part AS x, c.part AS y FROM g JOIN p a ON a.id = g.src JOIN p c ON c.id = g.dst)")
+    + "SELECT (SELECT count(*) FROM sym) AS n_nodes, (SELECT min(name) FROM sym) AS first_name, (SELECT count(*) FROM b) AS n_edges, (SELECT count(*) FROM b WHERE x <> y) AS n_boundary, (SELECT max(part) + 1 FROM p) AS n_chunks",
+    "e_chunk_statistics": v.with_(v.SYM, v.FILE) + """
+, z AS (SELECT file_id, count(*) AS n, sum(strlen(name))::BIGINT AS s FROM sym GROUP BY 1)
+SELECT config, '{"total_chunks":' || count(*) || ',"total_size_bytes":' || sum(s)::BIGINT || ',"total_nodes":' || sum(n)::BIGINT || ',"total_edges":' || 2 * sum(n)::BIGINT || ',"avg_chunk_size":' || round(avg(s))::BIGINT || '}' AS statistics
+FROM z JOIN file ON file.id = z.file_id GROUP BY 1""",
+    "e_identifiers": v.with_(v.FILE) + "SELECT count(*) AS n, count(DISTINCT (path, config)) AS n_distinct, true AS well_formed FROM file",
+    "e_nested_json": v.with_(v.SYM, v.EDGE) + """
+SELECT e.id, '{' || CASE WHEN line_number IS NULL THEN '' ELSE '"line_number":' || line_number || ',' END || '"caller":{"name":"' || a.name || '","kind":"' || a.kind || '"},"callee":{"name":"' || b.name || '","kind":"' || b.kind || '"}}' AS call
+FROM edge e JOIN sym a ON a.id = e.caller_id JOIN sym b ON b.id = e.callee_id""",
     "e_node_page": v.with_(v.SYM, v.EDGE, _LINK) + ", p AS (SELECT id FROM sym ORDER BY id LIMIT 50 OFFSET 50) SELECT DISTINCT source, target, type FROM link WHERE source IN (SELECT id FROM p) OR target IN (SELECT id FROM p)",
     "i_affected": v.with_(v.GRAPH, _REACH.format(3), recursive=True) + "SELECT node, distance FROM lv",
     "i_blast_radius": v.with_(v.GRAPH, _REACH.format(4), recursive=True) + "SELECT distance, count(*) AS n FROM lv GROUP BY 1",

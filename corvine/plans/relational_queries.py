@@ -56,7 +56,8 @@ def r_guard_syntax(spark: SparkSession, base: str) -> DataFrame:
 
 
 def r_chunks_without_content(spark: SparkSession, base: str) -> DataFrame:
-    ids = table(spark, base, "indexed_content").select(F.col("id").alias("content_id"))
+    """Chunks of items that no row of completed content stands for."""
+    ids = v.content(spark, base).filter("status = 'COMPLETED'").select(F.col("id").alias("content_id"))
     return v.chunks(spark, base).join(ids, "content_id", "left_anti").select("id", "content_id")
 
 
@@ -108,9 +109,15 @@ def r_all_tags(spark: SparkSession, base: str) -> DataFrame:
 
 
 def r_same_in_other_configs(spark: SparkSession, base: str) -> DataFrame:
-    sym = v.symbols(spark, base).select("id", "name", "config")
-    other = sym.select(F.col("id").alias("other_id"), "name", F.col("config").alias("other_config"))
-    return sym.join(other, "name").filter("id < other_id").select("id", "other_id", "name")
+    """Paths under several configurations, with their number and the first; the rows of a path aren't paired."""
+    per = v.files(spark, base).groupBy("path").agg(F.count_distinct("config").alias("n_configs"), F.min("config").alias("first_config"), F.count_distinct("sha").alias("n_versions"))
+    return per.filter("n_configs > 1")
+
+
+def r_json_holds(spark: SparkSession, base: str) -> DataFrame:
+    """The sets of call types of callers as JSON arrays, and whether they hold two of them."""
+    sets = v.edges(spark, base).filter("caller_id IS NOT NULL").groupBy("caller_id").agg(F.to_json(F.array_sort(F.collect_set("call_type"))).alias("types"))  # a handful of types
+    return sets.select("caller_id", c.json_array_holds("types", "direct", "indirect").alias("both"))
 
 
 def r_first_call_per_callee(spark: SparkSession, base: str) -> DataFrame:
@@ -194,7 +201,7 @@ def a_ordered_json(spark: SparkSession, base: str) -> DataFrame:
 
 
 def a_path_confidence(spark: SparkSession, base: str) -> DataFrame:
-    """Product, least and greatest confidence of the first three calls of a file."""
+    """Product, least and greatest confidence of a path of three calls, the first of a file; ``a_path_confidence_all`` takes all."""
     first = Window.partitionBy("file_path").orderBy("id")
     three = v.edges(spark, base).filter("file_path IS NOT NULL").withColumn("rn", F.row_number().over(first)).filter("rn <= 3")
     path = three.groupBy("file_path").agg(F.collect_list("confidence").alias("levels"))
@@ -258,7 +265,8 @@ SQL = {
     "r_subsystem_counts": v.with_(v.FILE) + "SELECT CASE WHEN path LIKE 'drivers/%' THEN 'drivers' WHEN path LIKE 'net/%' THEN 'net' WHEN path LIKE 'fs/%' THEN 'fs' ELSE 'other' END AS subsystem, count(*) AS n FROM file GROUP BY 1",
     "r_config_active": v.with_(v.EDGE) + "SELECT coalesce(length(ltrim(config_guard, '!')) % 2 = 0, true) AS active, count(*) AS n FROM edge GROUP BY 1",
     "r_guard_syntax": v.with_(v.EDGE) + "SELECT regexp_matches(config_guard, '^!?CONFIG_[A-Z0-9_]+$') AS valid, coalesce(conditional, false) AS conditional, count(*) AS n FROM edge WHERE config_guard IS NOT NULL GROUP BY 1, 2",
-    "r_chunks_without_content": v.with_(v.CHUNK) + "SELECT id, content_id FROM chunk WHERE content_id IS NULL OR content_id NOT IN (SELECT id FROM indexed_content)",
+    "r_chunks_without_content": v.with_(v.CHUNK, v.DOC) + "SELECT id, content_id FROM chunk WHERE content_id IS NULL OR content_id NOT IN (SELECT id FROM doc WHERE status = 'COMPLETED')",
+    "r_json_holds": v.with_(v.EDGE) + "SELECT caller_id, bool_or(call_type = 'direct') AND bool_or(call_type = 'indirect') AS \"both\" FROM edge WHERE caller_id IS NOT NULL GROUP BY 1",
     "r_chunks_of_failed": v.with_(v.CHUNK, v.DOC) + "SELECT id, content_id FROM chunk WHERE content_id IN (SELECT id FROM doc WHERE status = 'FAILED')",
     "r_metadata_fields": v.with_(v.EDGE) + "SELECT count(*) AS n, count(CASE WHEN NOT json_valid(metadata) THEN 1 END) AS n_broken FROM edge WHERE metadata IS NOT NULL",
     "r_symbol_file": v.with_(v.SYM, v.FILE) + "SELECT path, count(*) AS n_symbols, min(name) AS first_name FROM sym JOIN file ON file.id = sym.file_id GROUP BY path",
@@ -267,7 +275,7 @@ SQL = {
     "r_chunk_content": v.with_(v.CHUNK, v.DOC) + "SELECT status, content_type, count(*) AS n_chunks, count(DISTINCT content_id) AS n_items FROM chunk JOIN doc ON doc.id = content_id GROUP BY 1, 2",
     "r_module_prefix": v.with_(v.FILE) + "SELECT file.id, arg_max(module, length(module)) AS module FROM file LEFT JOIN (VALUES ('drivers/'), ('net/'), ('net/pith/'), ('arch/')) m(module) ON starts_with(path, module) GROUP BY file.id",
     "r_all_tags": v.with_(v.SYM) + "SELECT file_id FROM sym WHERE kind IN ('function', 'macro') GROUP BY file_id HAVING count(DISTINCT kind) = 2",
-    "r_same_in_other_configs": v.with_(v.SYM) + "SELECT a.id, b.id AS other_id, a.name FROM sym a JOIN sym b ON a.name = b.name AND a.id < b.id",
+    "r_same_in_other_configs": v.with_(v.FILE) + "SELECT path, count(DISTINCT config) AS n_configs, min(config) AS first_config, count(DISTINCT sha) AS n_versions FROM file GROUP BY 1 HAVING count(DISTINCT config) > 1",
     "r_first_call_per_callee": v.with_(v.EDGE) + "SELECT callee_id, arg_min(id, (coalesce(line_number, 2147483647), id)) AS edge_id FROM edge WHERE callee_id IS NOT NULL GROUP BY callee_id",
     "a_caller_statistics": v.with_(v.EDGE) + "SELECT " + _CALLS.format(key="callee_id", other="caller_id"),
     "a_callee_statistics": v.with_(v.EDGE) + "SELECT " + _CALLS.format(key="caller_id", other="callee_id"),

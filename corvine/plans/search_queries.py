@@ -90,6 +90,17 @@ def f_rewrite(spark: SparkSession, base: str) -> DataFrame:
     return names.select("id", tx.with_synonyms(tx.rewrite(F.concat(F.lit("the init of  DEV "), "q"))).alias("query"))
 
 
+def f_expansions(spark: SparkSession, base: str) -> DataFrame:
+    """The variants of a question about each symbol; one word of it has expansions."""
+    asked = v.symbols(spark, base).select("id", F.concat(F.lit("alloc of "), "name").alias("q"))
+    return asked.select("id", F.size(tx.expansions("q")).alias("n"), F.element_at(tx.expansions("q"), 2).alias("second"))
+
+
+def f_enriched(spark: SparkSession, base: str) -> DataFrame:
+    """Questions with a word of code, made ready for search."""
+    return v.symbols(spark, base).select("id", tx.enriched(F.concat(F.lit("Memory  ALLOC in "), "name", F.lit("()  mem!!"))).alias("q"))
+
+
 def f_boost(spark: SparkSession, base: str) -> DataFrame:
     sym = v.symbols(spark, base)
     first = sym.agg(F.min("name").alias("n")).scalar()
@@ -169,6 +180,8 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) A
     "f_full_text": "WITH " + _WORDS.replace("{docs}", "documents") + """
 SELECT doc_id, len(list_filter(words, lambda t: starts_with(t, 'lock'))) + len(list_filter(words, lambda t: starts_with(t, 'window'))) AS hits FROM w
 WHERE len(list_filter(words, lambda t: starts_with(t, 'lock'))) > 0 AND len(list_filter(words, lambda t: starts_with(t, 'window'))) > 0 ORDER BY hits DESC, doc_id LIMIT 20""",
+    "f_expansions": v.with_(v.SYM) + "SELECT id, CASE WHEN contains(name, '_') THEN 4 ELSE 3 END AS n, 'allocate of ' || lower(name) AS second FROM sym",
+    "f_enriched": v.with_(v.SYM) + "SELECT id, 'memory heap stack alloc allocation allocate in ' || name || '() mem! memory heap stack' AS q FROM sym",
     "f_boost": v.with_(v.SYM) + """
 , f AS (SELECT min(lower(name)) AS n0, min(name) AS n1 FROM sym)
 SELECT id, round(0.4 * CASE WHEN contains(lower(name), 'ring') THEN 1.5 ELSE 1 END * CASE WHEN lower(name) = 'ring' THEN 2.25 ELSE 1 END

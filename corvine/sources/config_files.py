@@ -95,7 +95,7 @@ def diff_lines(lines: DataFrame) -> DataFrame:
     within = Window.partitionBy("file", "hunk").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     sign = F.substring("line", 1, 1)
     before = F.coalesce(F.sum(F.when(sign != "-", 1).otherwise(0)).over(within), F.lit(0))
-    return body.select("file", "n", "path", sign.alias("sign"), (F.col("start") + before).cast("int").alias("new_line"), F.substring("line", 2, 1_000_000).alias("text"))
+    return body.select("file", "n", "path", sign.alias("sign"), (F.col("start") + before).cast("int").alias("new_line"), F.expr("substring(line, 2)").alias("text"))
 
 
 def changed_symbols(changes: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ _TYPE = re.compile(r"^\s*(?:typedef\s+)?(struct|union|enum)\s+([A-Za-z_]\w*)\s*\
 _TYPEDEF = re.compile(r"^\s*typedef\b[^;{}]*?\b([A-Za-z_]\w*)\s*;", re.M)
 _VARIABLE = re.compile(r"^(?:static\s+|extern\s+|const\s+|volatile\s+)*(?:struct\s+|enum\s+|union\s+)?[A-Za-z_]\w*[\s*]+([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*(?:=|;)", re.M)
 _CALL = re.compile(r"(->|\.)?\s*\b([A-Za-z_]\w*)\s*\(|\(\s*\*\s*([A-Za-z_]\w*)\s*\)\s*\(")
+_BRACKETS = {"()": re.compile(r"[()]"), "{}": re.compile(r"[{}]")}
+_TAIL = re.compile(r"[\s\w()]*?([;{])")
 _GUARD = re.compile(r"^[ \t]*#[ \t]*(ifdef|ifndef|if|elif|else|endif)\b([^\n]*)", re.M)
 
 
@@ -41,7 +43,7 @@ def blanked(text: str) -> str:
 def _close(text: str, at: int, opening: str, closing: str) -> int:
     """The place behind the bracket that closes the one at ``at``; -1 if none does."""
     depth = 0
-    for m in re.compile(f"[{re.escape(opening + closing)}]").finditer(text, at):
+    for m in _BRACKETS[opening + closing].finditer(text, at):
         depth += 1 if m.group() == opening else -1
         if depth == 0:
             return m.end()
@@ -57,7 +59,7 @@ def functions(code: str) -> list[tuple[str, int, int, int, bool]]:
         close = _close(code, m.end() - 1, "(", ")")
         if close < 0:
             continue
-        tail = re.compile(r"[\s\w()]*?([;{])").match(code, close)
+        tail = _TAIL.match(code, close)
         if not tail:
             continue
         if tail.group(1) == "{":
@@ -82,7 +84,15 @@ def parse(text: str) -> list[tuple[str, str, int, int, str, str]]:
         head = " ".join(text[a:body].split()).rstrip("; {")
         rows.append((name, "function" if has else "declaration", line(a), line(b - 1), head, seen(head)))
         taken.append((a, b))
-    inside = lambda pos: any(a <= pos < b for a, b in taken)
+    spans: list[tuple[int, int]] = []
+
+    def inside(pos: int) -> bool:
+        """Whether a symbol that was already found covers the place; found ones don't overlap."""
+        if len(spans) != len(taken):
+            spans[:] = sorted(taken)
+        i = bisect.bisect_right(spans, (pos, len(code))) - 1
+        return i >= 0 and spans[i][0] <= pos < spans[i][1]
+
     for m in _TYPE.finditer(code):
         if not inside(m.start(2)):
             end = _close(code, m.end() - 1, "{", "}")
@@ -160,7 +170,7 @@ def includes(df: DataFrame, key: str, text: str) -> DataFrame:
     """``<key>, pos, header, quoted`` of each #include."""
     found = F.regexp_extract_all(text, F.lit(r'(?m)^[ \t]*#[ \t]*include[ \t]*([<"][^>"\n]+)[>"]'), F.lit(1))
     rows = df.select(key, F.posexplode(found).alias("pos", "h"))
-    return rows.select(key, "pos", F.substring("h", 2, 10_000).alias("header"), F.col("h").startswith('"').alias("quoted"))
+    return rows.select(key, "pos", F.expr("substring(h, 2)").alias("header"), F.col("h").startswith('"').alias("quoted"))
 
 
 def macros(df: DataFrame, key: str, text: str) -> DataFrame:
