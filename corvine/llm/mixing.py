@@ -4,8 +4,9 @@ Target weights run down a tree of domains, languages and sources. A budget is
 divided among the children of a node by weight; what a child can't use goes to
 its siblings, and only what none of them can use goes back up. A leaf's budget
 is met by whole epochs and the prefix of one more, in an order drawn from a
-seed; the place where the prefix ends comes from a histogram of order values,
-so no leaf is ever sorted in one task.
+seed; the place where the prefix ends comes from two histograms of order values,
+the second within one bucket of the first. One row a leaf says where it ends, so
+no row is shuffled and no leaf is ever sorted in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corvine.session import checkpoint_dir
 
-BUCKETS = 4_096
+BITS = 12  # of the order that one histogram tells apart
 
 
 @dataclass
@@ -105,6 +106,17 @@ def plan(leaves: list[tuple[str, str, str, int]], targets: dict[str, tuple[float
     return out
 
 
+def _ending(rows: DataFrame, leaf: list[str], bucket: str, rest: str) -> DataFrame:
+    """``<leaf>, <bucket>_end, rest``: the bucket in which each leaf's prefix ends, and what is left of the budget there.
+
+    A prefix is shorter than its leaf, so it always ends in one of the buckets.
+    """
+    sums = rows.groupBy(*leaf, rest, bucket).agg(F.sum("n_tokens").alias("inside"))
+    running = Window.partitionBy(*leaf).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)  # at most 4,096 rows
+    over = sums.withColumn("after", F.sum("inside").over(running)).filter(F.col("after") > F.col(rest))
+    return over.groupBy(*leaf).agg(F.min_by(F.struct(F.col(bucket).alias("b"), (F.col(rest) - F.col("after") + F.col("inside")).alias("r")), bucket).alias("x")).select(*leaf, F.col("x.b").alias(f"{bucket}_end"), F.col("x.r").alias("rest"))
+
+
 def mix(sized: DataFrame, key: str, source: str, language: str, tokens: str, targets: dict[str, tuple[float, int]], domains: dict[str, str], languages: list[str], seed: int = 17, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The chosen records and the report.
 
@@ -119,7 +131,7 @@ def mix(sized: DataFrame, key: str, source: str, language: str, tokens: str, tar
     misses the budget by less than leaving it. None is used more often than
     max_repeats. Empty records are never
     used. A source without records gets nothing and its share goes to siblings.
-    Keys must be unique. Targets and languages are parameters, so the number of
+    Keys may repeat, each row is a record of its own. Targets and languages are parameters, so the number of
     leaves is bounded.
     """
     spark = sized.sparkSession
@@ -131,17 +143,18 @@ def mix(sized: DataFrame, key: str, source: str, language: str, tokens: str, tar
     planned = spark.createDataFrame(plan(leaves, targets, total), "domain string, language string, source string, whole int, rest long")
 
     leaf = ["domain", "language", "source"]
-    # the seed and the number of the epoch make the order; its top bits the bucket
+    # the seed and the number of the epoch make the order; its top bits are the buckets
     ordered = rows.join(F.broadcast(planned), leaf).withColumn("place", F.xxhash64(F.lit(seed), "whole", "key"))
-    ordered = ordered.withColumn("bucket", F.shiftright("place", 52))
-    by_bucket = ordered.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
-    running = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_bucket.select(*leaf, "bucket", "in_bucket", F.coalesce(F.sum("in_bucket").over(running), F.lit(0)).alias("before"))
-    placed = ordered.join(before, [*leaf, "bucket"])
-    inside, cut = F.col("before") + F.col("in_bucket") <= F.col("rest"), F.col("before") < F.col("rest")
-    clear = placed.withColumn("extra", F.when(inside, 1).otherwise(0)).filter(inside | ~cut)
+    ordered = ordered.withColumns({"coarse": F.shiftright("place", 64 - BITS), "fine": F.shiftright("place", 64 - 2 * BITS)})
+    first = _ending(ordered, leaf, "coarse", "rest")
+    second = _ending(ordered.drop("rest").join(F.broadcast(first), leaf).filter("coarse = coarse_end"), leaf, "fine", "rest")
+    ends = first.drop("rest").join(second, leaf)  # one row a leaf
+    placed = ordered.drop("rest").join(F.broadcast(ends), leaf)
+    before, at = F.col("fine") < F.col("fine_end"), F.col("fine") == F.col("fine_end")
+    clear = placed.filter(~at).withColumn("extra", before.cast("int"))
+    # one of 16.8 million buckets of a leaf
     within = Window.partitionBy(*leaf).orderBy("place", "key").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.filter(cut & ~inside).withColumn("extra", F.when(F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0))
+    edge = placed.filter(at).withColumn("extra", F.when(F.sum("n_tokens").over(within) - F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0))
     copies = clear.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")).filter("copies > 0")
     chosen = copies.select(F.col("key").alias(key), "source", "language", "n_tokens", "copies")
 

@@ -56,3 +56,29 @@ def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, source string, lang string, n_tokens long")
     chosen, report = m.mix(df, "doc_id", "source", "lang", "n_tokens", {"big": (1.0, 1)}, {}, [])
     assert chosen.count() == 0 and report.first().actual_share == 0
+
+
+def test_the_prefix_ends_where_the_order_says(spark):
+    """Against the sorted order in plain Python, keys that repeat included."""
+    from pyspark.sql import functions as F
+
+    rows = [(i % 400, "a", "en", 1 + i % 7) for i in range(500)] + [(1000 + i, "b", "en", 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n long")
+    targets = {"a": (0.3, 1), "b": (0.7, 1)}
+    chosen, report = m.mix(df, "doc_id", "source", "lang", "n", targets, {}, ["en"], seed=3)
+    place = dict(df.select("doc_id", F.xxhash64(F.lit(3), F.lit(0), "doc_id")).collect())
+    have = {s: sum(r[3] for r in rows if r[1] == s) for s in "ab"}
+    plan = {leaf[2]: leaf for leaf in m.plan([("other", "en", s, have[s]) for s in "ab"], targets)}
+    got = {}
+    for r in chosen.collect():
+        got[r.source] = got.get(r.source, 0) + r.n_tokens * r.copies
+    for s in "ab":
+        _, _, _, whole, rest = plan[s]
+        used = 0
+        for _, _, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: (place[r[0]], r[0])):
+            if whole == 0 and used + n / 2 <= rest:
+                used += n
+            elif whole == 0:
+                break
+        assert got[s] == (have[s] if whole else 0) + used or abs(got[s] - rest - whole * have[s]) <= 7
+    assert report.count() == 2
