@@ -77,10 +77,12 @@ def pack(items: DataFrame, key: str, size: str, limits: dict[str, int], shard: i
     """
     spark = items.sparkSession
     checkpoint_dir(spark)
-    narrow = items.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")).checkpoint()
+    narrow = items.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+    # rows are numbered and written once: repeated and null keys are spread over the shards like others
+    narrow = narrow.withColumn("row", F.monotonically_increasing_id()).checkpoint()
     shards = max(1, math.ceil(narrow.count() / shard))
     table = F.array(*(F.struct(F.lit(n).alias("limit_name"), F.lit(int(c)).alias("capacity")) for n, c in limits.items()))
-    spread = narrow.filter("size > 0").select(F.explode(table).alias("l"), "key", "size").select("l.limit_name", "l.capacity", "key", "size", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(shards)).cast("int").alias("shard"))
+    spread = narrow.filter("size > 0").select(F.explode(table).alias("l"), "key", "size", "row").select("l.limit_name", "l.capacity", "key", "size", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(shards)).cast("int").alias("shard"))
 
     def first(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         name, capacity, number = ids

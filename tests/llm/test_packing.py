@@ -76,3 +76,13 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "ä" * 20_000)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in tokens.sizes(df, "doc_id", "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1000
+
+
+def test_a_key_that_a_third_of_the_rows_repeat_is_spread(spark):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, 1 + i % 50) for i in range(900)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), "doc_id", "n", {"box": 100}, shard=100).collect()
+    assert len(packed) == 900 and sum(r.n_tokens for r in packed) == sum(n for _, n in rows)
+    fill = {}
+    for r in packed:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
+    assert max(fill.values()) <= 100 and len(fill) <= 1.1 * sum(n for _, n in rows) / 100
