@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.llm import functions_docs, mixing, mojibake, packing, splitting, tokens, vectors
+from corvine.session import checkpoint_dir
 from corvine.sources.tables import latest_rows, table
 
 
@@ -26,13 +27,19 @@ def _limits(spark: SparkSession, base: str) -> dict[str, tuple[int, int]]:
 
 def current_content(spark: SparkSession, base: str, *columns: str) -> DataFrame:
     """The current row of each id: the greatest updated_at; of equals the greatest hash."""
-    rows = table(spark, base, "indexed_content").select("id", "content", *columns, "updated_at", "content_hash")
+    return _current(table(spark, base, "indexed_content").select("id", "content", *columns, "updated_at", "content_hash"))
+
+
+def _current(rows: DataFrame) -> DataFrame:
     return latest_rows(rows, "id", [F.col("updated_at").desc_nulls_last(), F.col("content_hash").desc_nulls_last()]).drop("updated_at", "content_hash")
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     limit, overlap = _limits(spark, base)["content_split"]
-    return splitting.oversized(current_content(spark, base), "id", "content", limit, overlap)
+    rows = table(spark, base, "indexed_content").select("id", "content", "updated_at", "content_hash")
+    # versions within the limit take part in choosing the current one, but not with their text
+    long = rows.withColumn("content", F.when(F.length("content") > limit, F.col("content")))
+    return splitting.oversized(_current(long), "id", "content", limit, overlap)
 
 
 def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
@@ -136,7 +143,97 @@ def p9_restored(spark: SparkSession, base: str) -> DataFrame:
     return mojibake.restore(table(spark, base, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_pairs, p6_found, p6_classes, p6_links, p6_neighbours, p7_packed, p7_summary, p8_mix, p8_shares, p9_found, p9_restored)}
+def _checks(*checks: tuple[str, DataFrame]) -> DataFrame:
+    """``what, n``: how many rows each of the tables has."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n") for what, df in checks]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def p2_checks(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold of the pieces, as counts."""
+    checkpoint_dir(spark)
+    limit, overlap = _limits(spark, base)["content_split"]
+    texts = current_content(spark, base)
+    pieces = splitting.split_items(texts, "id", "content", limit, overlap).checkpoint()
+    near = Window.partitionBy("content_id").orderBy("chunk_index")  # the pieces of one text
+    steps = pieces.select("content_id", "chunk_index", "char_start", "char_end", F.lag("char_end").over(near).alias("before"), F.lag("chunk_index").over(near).alias("number"))
+    whole = pieces.join(texts.withColumnRenamed("id", "content_id"), "content_id")
+    last = pieces.groupBy("content_id").agg(F.max("char_end").alias("end")).join(texts.withColumnRenamed("id", "content_id"), "content_id")
+    return _checks(
+        ("texts", pieces.select("content_id").distinct()),
+        ("pieces above the limit", pieces.filter(F.length("chunk_text") > limit)),
+        ("pieces that aren't their part of the text", whole.filter(~F.col("chunk_text").eqNullSafe(F.expr("substring(content, char_start + 1, char_end - char_start)")))),
+        ("first pieces not at the start", steps.filter("before IS NULL AND (char_start <> 0 OR chunk_index <> 0)")),
+        ("gaps, overlaps above the limit or steps back", steps.filter((F.col("char_start") > F.col("before")) | (F.col("char_start") < F.col("before") - overlap) | (F.col("char_end") <= F.col("before")) | (F.col("chunk_index") != F.col("number") + 1))),
+        ("texts not covered to the end", last.filter(F.col("end") != F.length("content"))),
+    )
+
+
+def p3_checks(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold of the pairs, as counts."""
+    checkpoint_dir(spark)
+    found = _pairs(spark, base).checkpoint()
+    texts = current_content(spark, base).select(F.col("id").alias("content_id"), "content")
+    return _checks(
+        ("code that isn't in the text", found.join(texts, "content_id").filter(~F.contains("content", "code"))),
+        ("signatures without the name", found.filter(~F.contains("signature", "func_name"))),
+        ("descriptions of less than four words", found.filter(F.size(F.split(F.trim("description"), r"\s+")) < functions_docs.LEAST_WORDS).filter(~F.col("description").rlike(r"[\x{3040}-\x{9FFF}]"))),
+        ("names counted twice", found.groupBy("content_id", "func_name", "nth").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")),
+        ("pairs of no source file", found.join(texts, "content_id", "left_anti")),
+    )
+
+
+def p7_checks(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold of the containers, as counts."""
+    checkpoint_dir(spark)
+    packed = p7_packed(spark, base).checkpoint()
+    boxes = packed.filter("container_id IS NOT NULL").groupBy("limit_name", "capacity", "container_id").agg(F.sum("n_tokens").alias("fill"))
+    items = packed.groupBy("limit_name", "capacity", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
+    sizes = items.groupBy("doc_id").agg(F.count_distinct("tokens").alias("n"))
+    return _checks(
+        ("items under all limits", items),
+        ("containers above their capacity", boxes.filter("fill > capacity")),
+        ("items split that fit", items.filter("pieces > 1 AND tokens <= capacity")),
+        ("items with gaps between pieces", items.filter("end <> tokens")),
+        ("items of different sizes under different limits", sizes.filter("n > 1")),
+        # partially filled containers that stay are a number, not a share
+        ("limits with 1 % and 40 containers more than the least", packing.summary(packed).filter("n_containers > 1.01 * least_containers + 40")),
+    )
+
+
+def p8_checks(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold of the mix, as counts."""
+    checkpoint_dir(spark)
+    chosen, report = _mix(spark, base)
+    chosen = chosen.checkpoint()
+    targets = table(spark, base, "mix_target")
+    return _checks(
+        ("sources with a target", report.filter("target_share > 0")),
+        ("records of no target", chosen.join(targets, "source", "left_anti")),
+        ("records used too often", chosen.join(targets, "source").filter("copies > max_repeats OR copies < 1")),
+        ("records chosen twice", chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")),
+        ("sources short of their share though they have more", report.filter("actual_share < target_share - 0.02 AND used_tokens < 0.98 * available_tokens * max_repeats")),
+    )
+
+
+def p9_checks(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold of the garbled documents, as counts."""
+    checkpoint_dir(spark)
+    docs = table(spark, base, "documents")
+    found = mojibake.garbled(docs, "doc_id", "text")[0].checkpoint()
+    marks = r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]"
+    outside = docs.select("doc_id", mojibake.strip_quoted("text").alias("t"))
+    return _checks(
+        ("documents with marks that nobody writes", outside.filter(F.col("t").rlike(marks)).join(found, "doc_id", "left_semi")),
+        ("documents with marks that aren't found", outside.filter(F.col("t").rlike(marks)).join(found, "doc_id", "left_anti")),
+        ("ASCII documents that are found", docs.filter(~F.col("text").rlike(r"[\x{80}-\x{10FFFF}]")).join(found, "doc_id", "left_semi")),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_checks, p3_found, p3_pairs, p3_checks, p6_found, p6_classes, p6_links, p6_neighbours, p7_packed, p7_summary, p7_checks, p8_mix, p8_shares, p8_checks, p9_found, p9_restored, p9_checks)}
 
 _USABLE = f"""
 WITH v AS (SELECT DISTINCT id, content_id, embedding::DOUBLE[] AS e FROM vector_embedding
@@ -148,7 +245,20 @@ r AS (SELECT e, min(id) AS rep FROM v GROUP BY e),
 l AS (SELECT a.rep AS class_a, b.rep AS class_b, list_cosine_similarity(a.e, b.e) AS cosine FROM r a JOIN r b ON a.rep < b.rep WHERE list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE})
 """
 
+def _none(*what: str) -> str:
+    return " UNION ALL SELECT unnest([{}]), 0".format(", ".join("'" + w.replace("'", "''") + "'" for w in what))
+
+
 SQL = {
+    "p2_checks": "WITH cur AS (SELECT id, arg_max(content, (updated_at, content_hash)) AS content FROM indexed_content GROUP BY id) SELECT 'texts' AS what, count(*) AS n FROM cur WHERE length(content) > 0"
+    + _none("pieces above the limit", "pieces that aren't their part of the text", "first pieces not at the start", "gaps, overlaps above the limit or steps back", "texts not covered to the end"),
+    "p3_checks": "SELECT 'code that isn''t in the text' AS what, 0 AS n" + _none("signatures without the name", "descriptions of less than four words", "names counted twice", "pairs of no source file"),
+    "p7_checks": "SELECT 'items under all limits' AS what, count(*) * (SELECT count(*) FROM size_limit WHERE unit = 'token') AS n FROM documents"
+    + _none("containers above their capacity", "items split that fit", "items with gaps between pieces", "items of different sizes under different limits", "limits with 1 % and 40 containers more than the least"),
+    "p8_checks": "SELECT 'sources with a target' AS what, count(*) AS n FROM mix_target WHERE target_share > 0"
+    + _none("records of no target", "records used too often", "records chosen twice", "sources short of their share though they have more"),
+    "p9_checks": "SELECT 'documents with marks that nobody writes' AS what, count(*) AS n FROM documents WHERE regexp_matches(regexp_replace(text, '``[^`]*``|`[^`\\n]*`', ' ', 'g'), '[\\x{FFFD}\\x{80}-\\x{84}\\x{86}-\\x{9F}]')"
+    + _none("documents with marks that aren't found", "ASCII documents that are found"),
     "p2_found": """
 WITH cur AS (SELECT id, arg_max(content, updated_at) AS content FROM indexed_content GROUP BY id),
 big AS (SELECT id, content, string_split(content, chr(10)) AS lines FROM cur
@@ -159,7 +269,7 @@ seen AS (
       length(p[1]) - CASE WHEN p[2] + 1 < len(lines) AND ends_with(p[1], chr(13)) THEN 1 ELSE 0 END)) AS line,
     list_max(list_transform(regexp_split_to_array(content, '[ \\t\\r\\n]+'), lambda w: length(w))) AS word
   FROM big)
-SELECT id AS content_id, CASE WHEN line <= 2000 THEN 'line' WHEN word <= 2000 THEN 'word' ELSE 'none' END AS cut_kind FROM seen""",
+SELECT id AS content_id, CASE WHEN line <= max_size THEN 'line' WHEN word <= max_size THEN 'word' ELSE 'none' END AS cut_kind FROM seen, size_limit WHERE limit_name = 'content_split'""",
     "p6_found": _USABLE + f"""
 SELECT DISTINCT least(a.id, b.id) AS vec_id_a, greatest(a.id, b.id) AS vec_id_b
 FROM v a JOIN v b ON a.id < b.id AND a.content_id <> b.content_id
