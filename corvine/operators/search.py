@@ -152,7 +152,7 @@ def token_overlap(queries: DataFrame, corpus: DataFrame, item: str, text: str, k
     """``query_id, rank, item, score``: shared part of the words of text and query (``query_id, q``)."""
     asked = small_side(queries.select("query_id", tx.token_set("q").alias("qs")))
     words = corpus.select(item, tx.token_set(F.coalesce(text, F.lit(""))).alias("ts"))
-    # a shared word is needed for a score above 0: explode only words that are asked for
+    # every text meets every query, of which there are at most QUERIES_AT_ONCE; only pairs that share a word stay
     hit = words.join(asked, F.arrays_overlap("ts", "qs")).select("query_id", item, tx.jaccard(F.col("ts"), F.col("qs")).alias("score"))
     ranked = hit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), item)))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", item, "score")

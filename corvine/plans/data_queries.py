@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.functions import columns
@@ -387,6 +387,76 @@ def d_calls(spark: SparkSession, base: str) -> DataFrame:
     return impact.call_differences(e.filter("line_number % 2 = 1"), e.filter("call_type <> 'macro'"))
 
 
+def _patches(spark: SparkSession, base: str) -> DataFrame:
+    """A unified diff per file that renames its first ten symbols: each hunk has a context line, an old and a new one."""
+    s = v.symbols(spark, base).filter("name IS NOT NULL AND start_line IS NOT NULL")
+    first = Window.partitionBy("file_id").orderBy("id")
+    few = s.withColumn("rn", F.row_number().over(first)).filter("rn <= 10")
+    hunk = F.concat(F.lit("@@ -"), F.col("rn") * 10, F.lit(",2 +"), F.col("rn") * 10, F.lit(",2 @@\n // context\n-#define "), "name", F.lit(" 1\n+#define "), "name", F.lit("_new 1"))
+    text = few.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("rn", hunk.alias("h")))).alias("h"))
+    path = v.files(spark, base).select(F.col("id").alias("file_id"), "path")
+    return text.join(path, "file_id").select(F.col("file_id").alias("id"), F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n"), F.array_join(F.transform("h", lambda x: x["h"]), "\n")).alias("content"))
+
+
+def x_diff_lines(spark: SparkSession, base: str) -> DataFrame:
+    found = config_files.diff_lines(config_files.lines_of(_patches(spark, base), "id", "content"))
+    return found.select("file", "n", "path", "sign", "new_line", "text")
+
+
+def x_changed_symbols(spark: SparkSession, base: str) -> DataFrame:
+    return config_files.changed_symbols(config_files.diff_lines(config_files.lines_of(_patches(spark, base), "id", "content"))).select("file", "symbol", "kind", "change")
+
+
+def i_patch(spark: SparkSession, base: str) -> DataFrame:
+    """Whom the patches of every fiftieth file reach within one call."""
+    part = _patches(spark, base).filter("id % 50 = 0")
+    changed = config_files.changed_symbols(config_files.diff_lines(config_files.lines_of(part, "id", "content"))).filter("change = 'removed'")
+    return impact.patch_impact(changed, v.symbols(spark, base), v.graph(spark, base), 1)
+
+
+def x_kconfig(spark: SparkSession, base: str) -> DataFrame:
+    """A Kconfig text written from the guards of the calls, and read again."""
+    names = table(spark, base, "call_edges").select(F.regexp_replace("config_guard", "^!?CONFIG_", "").alias("o")).filter("o IS NOT NULL").distinct()
+    kind = F.when(F.length("o") % 2 == 0, "bool").otherwise("tristate")
+    block = F.concat(F.lit("config "), "o", F.lit("\n\t"), kind, F.lit(' "the option"\n\tdepends on NET && PCI\n\tdefault y\n\thelp\n\t  Turns '), "o", F.lit(" on.\n"))
+    text = names.agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("content")).select(F.lit(1).alias("id"), "content")  # one block an option
+    found = config_files.kconfig_options(config_files.lines_of(text, "id", "content"))
+    return found.select("name", "type", "default", F.array_join("depends", "+").alias("depends"), "help")
+
+
+def d_options(spark: SparkSession, base: str) -> DataFrame:
+    """Callers that need an option which is off; on are those with an even length."""
+    e = v.edges(spark, base).filter("config_guard IS NOT NULL").select(F.col("caller_id").cast("string").alias("name"), F.regexp_replace("config_guard", "^!", "").alias("option"))
+    options = e.select(F.col("option").alias("name"), F.when(F.length("option") % 2 == 0, "y").otherwise("n").alias("value")).distinct()
+    return impact.unmet_options(e, options).groupBy("option").agg(F.count(F.lit(1)).alias("n"))
+
+
+def d_interfaces(spark: SparkSession, base: str) -> DataFrame:
+    return impact.interface_breaks(_expected(spark, base), v.symbols(spark, base)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def e_graphml_round_trip(spark: SparkSession, base: str) -> DataFrame:
+    """Written as GraphML and read by Spark's XML reader."""
+    folder = f"{checkpoint_dir(spark)}/graphml-{uuid.uuid4().hex}"
+    graph_files.graphml_documents(e_graphml(spark, base)).write.text(folder)
+    nodes, edges = graph_files.read_graphml(spark, folder)
+    return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name")).withColumn("n_edges", edges.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+def t_changes(spark: SparkSession, base: str) -> DataFrame:
+    """The feed of versions as a stream; what differs from the ledger goes on, under the number of its batch."""
+    folder = f"{checkpoint_dir(spark)}/changes-{uuid.uuid4().hex}"
+    schema = table(spark, base, "indexed_content").schema
+    feed = spark.readStream.schema(schema).parquet(f"{base}/indexed_content.parquet*").select("id", F.lower("content_hash").alias("content_hash"), "updated_at")
+    known = lambda: table(spark, base, "content_ledger").select(F.col("content_id").alias("id"), F.lower("content_hash").alias("content_hash")).distinct()
+    handle = lambda changed, number: changed.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    query = jobs.detect_changes(feed, "id", "content_hash", "updated_at", known, handle, f"{folder}/state")
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return spark.read.parquet(f"{folder}/out").groupBy("id").agg(F.max_by("content_hash", F.struct("updated_at", "content_hash")).alias("content_hash"))
+
+
 def t_windows(spark: SparkSession, base: str) -> DataFrame:
     """Hourly statistics by a stream that runs to its end; open windows aren't written."""
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -413,7 +483,23 @@ _NORM = "regexp_replace(regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g'
 # Line 1 defines the magic number; the symbols follow in the order of their ids.
 _KERNEL = "k AS (SELECT id, file_id, name, (1 + row_number() OVER (PARTITION BY file_id ORDER BY id))::INTEGER AS line FROM sym WHERE name IS NOT NULL AND file_id IS NOT NULL)"
 
+_PATCH = """few AS (SELECT file_id, name, row_number() OVER (PARTITION BY file_id ORDER BY id) AS rn FROM sym WHERE name IS NOT NULL AND start_line IS NOT NULL),
+pf AS (SELECT file_id, path, name, rn FROM few JOIN file ON file.id = few.file_id WHERE rn <= 10)"""
+
 SQL = {
+    "x_diff_lines": v.with_(v.SYM, v.FILE, _PATCH) + """
+SELECT file_id AS file, (4 * rn + k)::INTEGER AS n, path, CASE k WHEN 1 THEN '-' WHEN 2 THEN '+' ELSE ' ' END AS sign, (rn * 10 + CASE k WHEN 0 THEN 0 ELSE 1 END)::INTEGER AS new_line,
+  CASE k WHEN 0 THEN '// context' WHEN 1 THEN '#define ' || name || ' 1' ELSE '#define ' || name || '_new 1' END AS text FROM pf, (VALUES (0), (1), (2)) t(k)""",
+    "x_changed_symbols": v.with_(v.SYM, v.FILE, _PATCH) + "SELECT file_id AS file, name AS symbol, 'macro' AS kind, 'removed' AS change FROM pf UNION ALL SELECT file_id, name || '_new', 'macro', 'added' FROM pf",
+    "i_patch": v.with_(v.SYM, v.FILE, v.GRAPH, _PATCH) + """
+, c AS (SELECT DISTINCT sym.id AS node FROM sym JOIN pf ON pf.name = sym.name WHERE pf.file_id % 50 = 0), r AS (SELECT node, 0 AS d FROM c UNION ALL SELECT g.src, 1 FROM c JOIN g ON g.dst = c.node), m AS (SELECT node, min(d)::INTEGER AS distance FROM r GROUP BY 1)
+SELECT sym.name, m.node, m.distance FROM m LEFT JOIN sym ON sym.id = m.node""",
+    "x_kconfig": """
+WITH o AS (SELECT DISTINCT regexp_replace(config_guard, '^!?CONFIG_', '') AS name FROM call_edges WHERE config_guard IS NOT NULL)
+SELECT name, CASE WHEN length(name) % 2 = 0 THEN 'bool' ELSE 'tristate' END AS type, 'y' AS "default", 'NET+PCI' AS depends, 'Turns ' || name || ' on.' AS help FROM o WHERE regexp_matches(name, '^\\w+$')""",
+    "d_options": v.with_(v.EDGE) + "SELECT regexp_replace(config_guard, '^!', '') AS option, count(*) AS n FROM edge WHERE length(regexp_replace(config_guard, '^!', '')) % 2 = 1 GROUP BY 1",
+    "e_graphml_round_trip": v.with_(v.SYM, v.EDGE, _LINK) + "SELECT coalesce(kind, 'Function') AS type, count(*) AS n, min(name) AS first_name, (SELECT count(*) FROM (SELECT DISTINCT * FROM link)) AS n_edges FROM sym GROUP BY 1",
+    "t_changes": v.with_(v.DOC) + "SELECT id, lower(content_hash) AS content_hash FROM doc WHERE (id, lower(content_hash)) NOT IN (SELECT (content_id, lower(content_hash)) FROM content_ledger)",
     "x_includes": v.with_(v.DOC, _CFILE) + """
 , h AS (SELECT id, unnest(regexp_extract_all(content, '(?m)^[ \\t]*#[ \\t]*include[ \\t]*[<"]([^>"\\n]+)[>"]', 1)) AS header FROM cf)
 SELECT header, count(*) AS n, count(DISTINCT id) AS n_files FROM h GROUP BY 1""",

@@ -68,8 +68,17 @@ def r_chunks_of_failed(spark: SparkSession, base: str) -> DataFrame:
 
 def r_metadata_fields(spark: SparkSession, base: str) -> DataFrame:
     """Fields of the JSON texts; broken JSON counts as such."""
-    parsed = v.edges(spark, base).filter("metadata IS NOT NULL").select(F.try_parse_json("metadata").alias("j"))
-    return parsed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("j").isNull()).alias("n_broken"))
+    j = v.edges(spark, base).filter("metadata IS NOT NULL").select(F.try_parse_json("metadata").alias("j"))
+    fields = j.select(F.col("j").isNull().alias("broken"), F.expr("try_variant_get(j, '$.pass', 'int')").alias("pass"), F.expr("try_variant_get(j, '$.src', 'string')").alias("src"))
+    return fields.groupBy("broken", "pass", "src").agg(F.count(F.lit(1)).alias("n"))
+
+
+def r_guard_holds(spark: SparkSession, base: str) -> DataFrame:
+    """Edges whose guard, negated or not, holds where two options are on."""
+    enabled = F.array(F.lit("CONFIG_NET"), F.regexp_replace("first", "^!", ""))
+    first = table(spark, base, "call_edges").agg(F.min("config_guard").alias("g"))
+    rows = v.edges(spark, base).withColumn("first", first.scalar())
+    return rows.groupBy(c.guard_holds("config_guard", enabled).alias("holds"), F.col("config_guard").startswith("!").alias("negated")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def r_symbol_file(spark: SparkSession, base: str) -> DataFrame:
@@ -268,7 +277,12 @@ SQL = {
     "r_chunks_without_content": v.with_(v.CHUNK, v.DOC) + "SELECT id, content_id FROM chunk WHERE content_id IS NULL OR content_id NOT IN (SELECT id FROM doc WHERE status = 'COMPLETED')",
     "r_json_holds": v.with_(v.EDGE) + "SELECT caller_id, bool_or(call_type = 'direct') AND bool_or(call_type = 'indirect') AS \"both\" FROM edge WHERE caller_id IS NOT NULL GROUP BY 1",
     "r_chunks_of_failed": v.with_(v.CHUNK, v.DOC) + "SELECT id, content_id FROM chunk WHERE content_id IN (SELECT id FROM doc WHERE status = 'FAILED')",
-    "r_metadata_fields": v.with_(v.EDGE) + "SELECT count(*) AS n, count(CASE WHEN NOT json_valid(metadata) THEN 1 END) AS n_broken FROM edge WHERE metadata IS NOT NULL",
+    "r_metadata_fields": v.with_(v.EDGE) + """
+, j AS (SELECT NOT json_valid(metadata) AS broken, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM edge WHERE metadata IS NOT NULL)
+SELECT broken, (m->>'$.pass')::INTEGER AS pass, m->>'$.src' AS src, count(*) AS n FROM j GROUP BY 1, 2, 3""",
+    "r_guard_holds": v.with_(v.EDGE, "f AS (SELECT regexp_replace(min(config_guard), '^!', '') AS o FROM call_edges)") + """
+, e AS (SELECT config_guard AS g, regexp_replace(config_guard, '^!', '') IN ('CONFIG_NET', o) AS is_on FROM edge, f)
+SELECT CASE WHEN g IS NULL THEN true WHEN starts_with(g, '!') THEN NOT is_on ELSE is_on END AS holds, starts_with(g, '!') AS negated, count(*) AS n FROM e GROUP BY 1, 2""",
     "r_symbol_file": v.with_(v.SYM, v.FILE) + "SELECT path, count(*) AS n_symbols, min(name) AS first_name FROM sym JOIN file ON file.id = sym.file_id GROUP BY path",
     "r_symbol_left_file": v.with_(v.SYM, v.FILE) + "SELECT kind, arch, count(*) AS n FROM sym LEFT JOIN file ON file.id = sym.file_id GROUP BY 1, 2",
     "r_edge_names": v.with_(v.SYM, v.EDGE) + "SELECT edge.id, a.name AS caller, b.name AS callee, line_number FROM edge JOIN sym a ON a.id = caller_id JOIN sym b ON b.id = callee_id",

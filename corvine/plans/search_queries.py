@@ -115,6 +115,18 @@ def f_scores(spark: SparkSession, base: str) -> DataFrame:
     return e.select("event_id", F.round(vec.combined(s, b), 6).alias("combined"), F.round(vec.confidence(s, b), 6).alias("confidence"), F.round(vec.similarity_level(s), 6).alias("level"), vec.quality_word(vec.combined(s, b)).alias("word"))
 
 
+def f_vector_expressions(spark: SparkSession, base: str) -> DataFrame:
+    """Dot product, cosine, distance and length of every vector against the first."""
+    first = _vectors(spark, base).agg(F.min_by("embedding", "vec_id").alias("q"))
+    both = _vectors(spark, base).crossJoin(F.broadcast(first))  # one row
+    r = lambda c: F.round(c, 5)
+    return both.select("vec_id", r(vec.dot("embedding", "q")).alias("dot"), r(vec.cosine("embedding", "q")).alias("cosine"), r(vec.distance("embedding", "q")).alias("distance"), r(vec.similarity01("embedding", "q")).alias("similarity"), r(vec.norm(vec.normalised("embedding"))).alias("length"))
+
+
+def f_keywords(spark: SparkSession, base: str) -> DataFrame:
+    return v.symbols(spark, base).select("id", F.array_join(tx.keywords(F.concat(F.lit("The Lock of a "), "name")), "+").alias("words"))
+
+
 def f_citations(spark: SparkSession, base: str) -> DataFrame:
     file = v.files(spark, base).select(F.col("id").alias("file_id"), "path", "sha")
     cited = v.symbols(spark, base).join(file, "file_id").filter("start_line IS NOT NULL AND end_line IS NOT NULL AND sha IS NOT NULL")
@@ -182,6 +194,11 @@ SELECT doc_id, len(list_filter(words, lambda t: starts_with(t, 'lock'))) + len(l
 WHERE len(list_filter(words, lambda t: starts_with(t, 'lock'))) > 0 AND len(list_filter(words, lambda t: starts_with(t, 'window'))) > 0 ORDER BY hits DESC, doc_id LIMIT 20""",
     "f_expansions": v.with_(v.SYM) + "SELECT id, CASE WHEN contains(name, '_') THEN 4 ELSE 3 END AS n, 'allocate of ' || lower(name) AS second FROM sym",
     "f_enriched": v.with_(v.SYM) + "SELECT id, 'memory heap stack alloc allocation allocate in ' || name || '() mem! memory heap stack' AS q FROM sym",
+    "f_vector_expressions": f"""
+WITH f AS (SELECT arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings), e AS (SELECT vec_id, embedding::DOUBLE[] AS e, q FROM embeddings, f)
+SELECT vec_id, round(list_inner_product(e, q), 5) AS dot, round(list_cosine_similarity(e, q), 5) AS cosine, round(list_distance(e, q), 5) AS distance,
+  round(greatest(0, least(1, (list_cosine_similarity(e, q) + 1) / 2)), 5) AS similarity, 1.0::DOUBLE AS length FROM e""",
+    "f_keywords": v.with_(v.SYM) + "SELECT id, 'lock' || CASE WHEN length(name) > 2 THEN '+' || lower(name) ELSE '' END AS words FROM sym",
     "f_boost": v.with_(v.SYM) + """
 , f AS (SELECT min(lower(name)) AS n0, min(name) AS n1 FROM sym)
 SELECT id, round(0.4 * CASE WHEN contains(lower(name), 'ring') THEN 1.5 ELSE 1 END * CASE WHEN lower(name) = 'ring' THEN 2.25 ELSE 1 END

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.operators.chunks import numbered
+
 # The default types of the JSON form.
 NODE_TYPE, EDGE_TYPE = "Function", "Direct"
 
@@ -40,6 +42,31 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
+# Fixed format: what stands before and behind the body.
+GRAPHML_HEAD = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="d0" for="node" attr.name="name" attr.type="string"/><key id="d1" for="node" attr.name="type" attr.type="string"/><key id="d2" for="edge" attr.name="type" attr.type="string"/><graph edgedefault="directed">'
+GRAPHML_TAIL = "</graph></graphml>"
+
+
+def graphml_documents(body: DataFrame) -> DataFrame:
+    """``value``: a whole GraphML document per partition of ``graphml_lines``, nodes before edges; empty partitions give none.
+
+    Written as text, each file is a document; ``read_graphml`` reads the folder.
+    """
+    import pandas as pd
+
+    def wrap(batches):
+        begun = False
+        for batch in batches:
+            if len(batch) and not begun:
+                begun = True
+                yield pd.DataFrame({"value": [GRAPHML_HEAD]})
+            yield batch[["value"]]
+        if begun:
+            yield pd.DataFrame({"value": [GRAPHML_TAIL]})
+
+    return body.sortWithinPartitions("part").mapInPandas(wrap, "value string")
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of GraphML files, by Spark's own XML reader."""
     data = "data ARRAY<STRUCT<_VALUE: STRING, _key: STRING>>"
@@ -89,10 +116,17 @@ def cut_by_size(rows: DataFrame, group: str, order: str, size: str, limit: int)
 
 
 def manifest(chunks: DataFrame, group: str, chunk: str, payload: str) -> DataFrame:
-    """``chunk_id, sequence, size_bytes, checksum`` of chunk payloads; ids like ``drivers_001`` per group."""
-    number = F.row_number().over(Window.partitionBy(group).orderBy(chunk))
-    named = chunks.withColumn("sequence", number)
-    return named.select(F.format_string("%s_%03d", F.regexp_replace(group, "/", "_"), "sequence").alias("chunk_id"), "sequence", F.octet_length(payload).cast("long").alias("size_bytes"), F.sha2(payload, 256).alias("checksum"))
+    """``chunk_id, sequence, size_bytes, checksum`` of chunk payloads; ids like ``drivers_001`` per group.
+
+    Payloads are hashed and measured where they are read; only the narrow rows
+    are numbered, over all groups at once, so a large group isn't one task. Rows
+    without a group are left out.
+    """
+    narrow = chunks.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(chunk).alias("c"), F.octet_length(payload).cast("long").alias("size_bytes"), F.sha2(payload, 256).alias("checksum"))
+    placed = numbered(narrow, ["g", "c"])
+    first = placed.groupBy("g").agg(F.min("index").alias("first"))
+    named = placed.join(first, "g").withColumn("sequence", (F.col("index") - F.col("first") + 1).cast("int"))
+    return named.select(F.format_string("%s_%03d", F.regexp_replace("g", "/", "_"), "sequence").alias("chunk_id"), "sequence", "size_bytes", "checksum")
 
 
 def verify(declared: DataFrame, present: DataFrame) -> DataFrame:
