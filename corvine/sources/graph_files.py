@@ -116,7 +116,7 @@ def cut_by_size(rows: DataFrame, group: str, order: str, size: str, limit: int)
 
 
 def manifest(chunks: DataFrame, group: str, chunk: str, payload: str) -> DataFrame:
-    """``chunk_id, sequence, size_bytes, checksum`` of chunk payloads; ids like ``drivers_001`` per group.
+    """``chunk_id, sequence, size_bytes, checksum`` of chunk payloads, sorted; ids like ``drivers_001`` per group.
 
     Payloads are hashed and measured where they are read; only the narrow rows
     are numbered, over all groups at once, so a large group isn't one task. Rows
@@ -126,7 +126,7 @@ def manifest(chunks: DataFrame, group: str, chunk: str, payload: str) -> DataFra
     placed = numbered(narrow, ["g", "c"])
     first = placed.groupBy("g").agg(F.min("index").alias("first"))
     named = placed.join(first, "g").withColumn("sequence", (F.col("index") - F.col("first") + 1).cast("int"))
-    return named.select(F.format_string("%s_%03d", F.regexp_replace("g", "/", "_"), "sequence").alias("chunk_id"), "sequence", "size_bytes", "checksum")
+    return named.orderBy("g", "sequence").select(F.format_string("%s_%03d", F.regexp_replace("g", "/", "_"), "sequence").alias("chunk_id"), "sequence", "size_bytes", "checksum")
 
 
 def verify(declared: DataFrame, present: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ def test_rewriting(spark):
     assert one(spark, tx.rewrite("t"), t="  the FS   init of a dev ") == "filesystem initialize device"
     assert one(spark, tx.rewrite("t"), t="") == ""
     assert one(spark, tx.with_synonyms("t"), t="lock it") == "lock mutex semaphore it"
-    assert one(spark, tx.expansions("t"), t="file lock") == ["file lock", "inode lock", "dentry lock", "file mutex", "file semaphore"]
+    # expansions have a table of their own, not that of the synonyms
+    assert one(spark, tx.expansions("t"), t="fs alloc lock") == ["fs alloc lock", "filesystem alloc lock", "file_system alloc lock", "fs allocate lock", "fs allocation lock"]
     assert one(spark, tx.expansions("t"), t="vfs_read") == ["vfs_read", "vfs read"]
     assert one(spark, tx.keywords("t"), t="fs is on") == ["filesystem"]
     assert one(spark, tx.exact_boost(F.lit(1.0), "n", "q"), n="Read", q="read") == pytest.approx(3.375)
